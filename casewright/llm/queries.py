@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.llm import cooccur, plainform
+from casewright.llm import cooccur, plainform, scans
 from casewright.sources import table
 
 
@@ -22,7 +22,15 @@ def p2_found(spark, d):
     return plainform.found(table(spark, d, "extractedentity"), table(spark, d, "person"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found}
+def p6_found(spark, d):
+    return scans.found(table(spark, d, "evidencechunk"), table(spark, d, "evidence"))
+
+
+def p6_paragraphs(spark, d):
+    return scans.paragraphs(table(spark, d, "evidencechunk"), table(spark, d, "evidence"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
 
 P7_PAIRS = """
 with i as (select distinct v.case_id, e.evidence_id, e.text, e.label from extractedentity e
