@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.llm import cooccur, plainform, scans
+from casewright.llm import cooccur, language, plainform, scans
 from casewright.sources import table
 
 
@@ -30,7 +30,17 @@ def p6_paragraphs(spark, d):
     return scans.paragraphs(table(spark, d, "evidencechunk"), table(spark, d, "evidence"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
+def p5_found(spark, d):
+    return language.found(table(spark, d, "evidencechunk"), table(spark, d, "chunklang"))
+
+
+def p5_segments(spark, d):
+    chunks = table(spark, d, "evidencechunk")
+    found = language.segments(chunks, language.fit(chunks, table(spark, d, "chunklang")))
+    return found.select("chunk_id", "segment", "lang", F.round("confidence", 6).alias("confidence"), "letters")
+
+
+QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
 
 P7_PAIRS = """
 with i as (select distinct v.case_id, e.evidence_id, e.text, e.label from extractedentity e
