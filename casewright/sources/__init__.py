@@ -1,3 +1,3 @@
-from casewright.sources.tables import ensure_checkpoint_dir, materialise, table
+from casewright.sources.tables import ensure_checkpoint_dir, materialise, small_side, table
 
-__all__ = ["ensure_checkpoint_dir", "materialise", "table"]
+__all__ = ["ensure_checkpoint_dir", "materialise", "small_side", "table"]

@@ -1,10 +1,16 @@
-"""Parquet table access and lineage cutting shared by all operators."""
+"""Parquet table access, lineage cutting and size-checked broadcasts shared by all operators."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast only after its rows were counted and are at most this many.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +30,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before
+        pass
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, so that a lost executor costs no recomputation of
-    what lies before and an expensive subplan used several times runs once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage by a compressed table in the shared checkpoint folder: a lost executor costs no
+    recomputation of what lies before, an expensive subplan used several times runs once, and later
+    scans still prune columns. The table is removed when the program ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casewright-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows, else unchanged (a shuffle join follows)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
