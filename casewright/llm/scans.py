@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.sources import materialise
+from casewright.sources import materialise, small_side
 
 OCR_STATUS = "ocr_indexed"
 # Words for "page" and "of" beside a page number.
@@ -58,8 +58,8 @@ def ocr_lines(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
     c = chunks.where("text is not null and id is not null").select(
         F.col("id").alias("chunk_id"), "evidence_id", "chunk_index",
         F.expr(r"try_cast(nullif(regexp_extract(source_location, '^chars:(\\d+)-', 1), '') as bigint)").alias("start"), "text",
-    ).dropDuplicates(["chunk_id"])
-    rows = c.join(ev, "evidence_id", "left_semi").select("chunk_id", "evidence_id", "chunk_index", "start", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("pos", "line"))
+    )
+    rows = c.join(small_side(ev), "evidence_id", "left_semi").select("chunk_id", "evidence_id", "chunk_index", "start", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("pos", "line"))
     return rows.withColumn("bare", F.expr(r"regexp_replace(line, '(?U)^\\s+|\\s+$', '')"))
 
 
@@ -70,6 +70,8 @@ def is_page_number(bare: Column) -> Column:
 
 
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: Tokens that are a number or a code: without a letter, or with three digits.
+CODE = r"(?<!\S)(?:[^\s\p{L}]*[0-9][^\s\p{L}]*|\S*[0-9]\S*[0-9]\S*[0-9]\S*)(?!\S)"
 
 
 def bare_word(token: Column) -> Column:
@@ -77,18 +79,19 @@ def bare_word(token: Column) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    """Lower-cased words without adjoining punctuation; a token without a letter, or with three digits, is #."""
-    words = F.transform(F.split(F.lower(text), r"\s+"), bare_word)
-    words = F.filter(words, lambda x: x != "")
-    return F.transform(words, lambda x: F.when(~x.rlike(r"\p{L}") | x.rlike(r"[0-9].*[0-9].*[0-9]"), "#").otherwise(x))
+    """Lower-cased words without adjoining punctuation; numbers and codes are 0."""
+    text = F.regexp_replace(F.regexp_replace(F.lower(text), CODE, "0"), EDGES, "")
+    return F.filter(F.split(text, r"[^\p{L}\p{N}]*\s+[^\p{L}\p{N}]*"), lambda x: x != "")
 
 
-def pair_counts(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(pair, clean, scanned): neighbouring words of all texts, by whether the file was scanned."""
-    ev = evidence.select(F.col("id").alias("evidence_id"), (F.col("status") == OCR_STATUS).alias("ocr")).dropDuplicates(["evidence_id"])
-    w = chunks.where("text is not null").select("evidence_id", plain_words(F.col("text")).alias("w")).join(ev, "evidence_id", "left").where("size(w) >= 2")
-    pairs = w.select(F.coalesce("ocr", F.lit(False)).alias("ocr"), F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))")).alias("pair"))
-    return pairs.groupBy("pair").agg(F.count_if(~F.col("ocr")).alias("clean"), F.count_if("ocr").alias("scanned"))
+def term_counts(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(term, clean, scanned): words and pairs of neighbouring words (with a blank between) of all texts, by
+    whether the file was scanned. Words divided at a line end are left out."""
+    ocr = evidence.where(F.col("status") == OCR_STATUS).select(F.col("id").alias("evidence_id")).distinct().withColumn("ocr", F.lit(1))
+    text = F.regexp_replace("text", r"\S+[-\x{ad}]\r?\n\s*\S+", " ")
+    w = chunks.where("text is not null").select("evidence_id", "text").join(small_side(ocr), "evidence_id", "left").select("ocr", plain_words(text).alias("w"))
+    terms = w.select("ocr", F.explode(F.expr("concat(w, if(size(w) < 2, array(), transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))")).alias("term")).where("length(term) <= 90")
+    return terms.groupBy("term").agg((F.count("*") - F.count("ocr")).alias("clean"), F.count("ocr").alias("scanned"))
 
 
 def furniture(lines: DataFrame, counts: DataFrame, min_count: int = 3, locked: float = 0.7) -> DataFrame:
@@ -100,7 +103,7 @@ def furniture(lines: DataFrame, counts: DataFrame, min_count: int = 3, locked: f
     pairs = text.where(F.size("w") >= 2).select("chunk_id", "pos", "open_end", F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> struct(concat(w[i], ' ', w[i + 1]) as pair, size(w) - 2 - i as behind))")).alias("s")).select("chunk_id", "pos", "open_end", "s.pair", "s.behind")
     at = pairs.groupBy("pair", "behind").agg(F.count("*").alias("n"))
     lock = at.groupBy("pair").agg(F.sum("n").alias("total"), F.max_by("behind", "n").alias("usual"), F.max("n").alias("most"))
-    running = counts.where("clean > 0").groupBy(glyph_skeleton(F.col("pair")).alias("pair")).agg(F.sum("clean").alias("clean"))
+    running = counts.where("clean > 0 and term like '% %'").withColumnRenamed("term", "pair").groupBy(glyph_skeleton(F.col("pair")).alias("pair")).agg(F.sum("clean").alias("clean"))
     lock = lock.where(F.col("total") >= min_count).join(running, "pair", "left").where(F.coalesce("clean", F.lit(0)) * 10 <= F.col("total"))
     lock = lock.select("pair", "usual", (F.col("most") / F.col("total")).alias("lock"))
     scored = pairs.where("open_end and behind <= 3").join(lock, "pair", "left").groupBy("chunk_id", "pos").agg(
@@ -111,34 +114,26 @@ def furniture(lines: DataFrame, counts: DataFrame, min_count: int = 3, locked: f
 
 
 def divided(parts: DataFrame) -> DataFrame:
-    """The body lines in order, each with the first token of the next body line and the end of the one before."""
+    """The body lines in order: cut, left, right (its last token goes on in the next line), joined (its first token
+    belongs to the line before), and the words next to the line."""
     w = Window.partitionBy("chunk_id").orderBy("pos")
-    body = parts.where(F.col("part") == "body")
-    ends = F.col("bare").rlike(r"\p{L}[-­]$")
-    body = body.withColumn("next", F.lead("bare").over(w)).withColumn("_before", F.lag("bare").over(w))
-    body = body.withColumn("cut", ends & F.col("next").rlike(r"^\p{L}")).withColumn("joined", F.coalesce(F.col("_before").rlike(r"\p{L}[-­]$") & F.col("bare").rlike(r"^\p{L}"), F.lit(False)))
-    left = F.regexp_extract("bare", r"(\S+)[-­]$", 1)
-    right = F.regexp_extract("next", r"^(\S+)", 1)
-    return body.withColumn("cut", F.coalesce("cut", F.lit(False))).withColumn("left", F.when(F.col("cut"), left)).withColumn("right", F.when(F.col("cut"), right)).drop("_before")
-
-
-def vocabulary(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(word, clean, scanned): tokens as written, lower-cased, by whether the file was scanned. Ends of lines
-    are left out where a word is divided."""
-    ev = evidence.select(F.col("id").alias("evidence_id"), (F.col("status") == OCR_STATUS).alias("ocr")).dropDuplicates(["evidence_id"])
-    text = F.regexp_replace("text", r"\S+[-­]\r?\n\s*\S+", " ")
-    t = chunks.where("text is not null").select("evidence_id", F.explode(F.split(F.lower(text), r"\s+")).alias("token"))
-    t = t.join(ev, "evidence_id", "left").select(bare_word(F.col("token")).alias("word"), F.coalesce("ocr", F.lit(False)).alias("ocr")).where("word <> '' and length(word) <= 60")
-    return t.groupBy("word").agg(F.count_if(~F.col("ocr")).alias("clean"), F.count_if("ocr").alias("scanned"))
-
-
-def whole_words(body: DataFrame, vocab: DataFrame) -> DataFrame:
+    body = parts.where(F.col("part") == "body").select("chunk_id", "pos", "bare")
+    body = body.withColumn("next", F.lead("bare").over(w)).withColumn("prev", F.lag("bare").over(w))
+    ends, starts = r"\p{L}[-\x{ad}]$", r"^\p{L}"
+    body = body.withColumn("cut", F.coalesce(F.col("bare").rlike(ends) & F.col("next").rlike(starts), F.lit(False)))
+    body = body.withColumn("joined", F.coalesce(F.col("prev").rlike(ends) & F.col("bare").rlike(starts), F.lit(False)))
+    left, right = F.regexp_extract("bare", r"(\S+)[-\x{ad}]$", 1), F.regexp_extract("next", r"^(\S+)", 1)
+    body = body.withColumn("left", F.when(F.col("cut"), left)).withColumn("right", F.when(F.col("cut"), right))
+    return body.withColumn("last_of_prev", F.regexp_extract("prev", r"(\S+)$", 1)).withColumn("first_of_next", F.regexp_extract("next", r"^(\S+)", 1)).drop("next", "prev")
+
+
+def whole_words(body: DataFrame, counts: DataFrame) -> DataFrame:
     """(chunk_id, pos, word) of every divided word: with its own hyphen where the vocabulary knows that form
     better, or, knowing neither, where the second part begins with a capital."""
     cuts = body.where("cut").select("chunk_id", "pos", F.concat("left", "right").alias("plain"), F.concat_ws("-", "left", "right").alias("own"), F.col("right").rlike(r"^\p{Lu}\p{Ll}").alias("capital"))
     cuts = cuts.withColumn("k1", F.lower(bare_word(F.col("plain")))).withColumn("k2", F.lower(bare_word(F.col("own"))))
     wanted = cuts.select(F.col("k1").alias("word")).unionByName(cuts.select(F.col("k2").alias("word"))).distinct()
-    known = vocab.join(wanted, "word", "left_semi").select("word", (F.col("clean") + F.col("scanned")).alias("n"))
+    known = counts.withColumnRenamed("term", "word").join(wanted, "word", "left_semi").select("word", (F.col("clean") + F.col("scanned")).alias("n"))
     a = known.select(F.col("word").alias("k1"), F.col("n").alias("n1"))
     b = known.select(F.col("word").alias("k2"), F.col("n").alias("n2"))
     d = cuts.join(a, "k1", "left").join(b, "k2", "left").na.fill(0, ["n1", "n2"])
@@ -147,56 +142,58 @@ def whole_words(body: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def running_tokens(body: DataFrame, whole: DataFrame) -> DataFrame:
-    """(chunk_id, pos, i, raw, word): tokens of body lines; a divided word stands whole at the end of its line."""
+    """(chunk_id, pos, i, raw, before, after, divided): tokens of body lines with their neighbours; a divided word
+    stands whole at the end of its line."""
     b = body.join(whole.withColumnRenamed("word", "whole"), ["chunk_id", "pos"], "left")
     t = F.split("bare", r"\s+")
-    t = F.when(F.col("joined"), F.slice(t, 2, 100000)).otherwise(t)
-    b = b.withColumn("t", t)
-    b = b.withColumn("t", F.when(F.col("cut") & (F.size("t") > 0), F.concat(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.array("whole"))).when(F.col("cut"), F.array("whole")).otherwise(F.col("t")))
-    return b.select("chunk_id", "pos", F.posexplode("t").alias("i", "raw")).where("raw <> ''").withColumn("word", bare_word(F.col("raw")))
+    b = b.withColumn("t", F.when(F.col("joined"), F.slice(t, 2, 1_000_000)).otherwise(t))
+    b = b.withColumn("t", F.when(F.col("cut"), F.concat(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.array("whole"))).otherwise(F.col("t"))).where("size(t) > 0")
+    rows = b.select("chunk_id", "pos", F.posexplode(F.expr("transform(sequence(0, size(t) - 1), i -> struct(t[i] as raw, if(i > 0, t[greatest(i - 1, 0)], last_of_prev) as before, if(i < size(t) - 1, t[least(i + 1, size(t) - 1)], first_of_next) as after, cut and i = size(t) - 1 as divided))")).alias("i", "s"))
+    return rows.select("chunk_id", "pos", "i", "s.*").where("raw <> ''")
 
 
-def misread(tokens: DataFrame, vocab: DataFrame, counts: DataFrame, min_known: int = 5, ratio: float = 8.0) -> DataFrame:
-    """(chunk_id, pos, i, right) of every misread token of the running text."""
+def readings(counts: DataFrame, min_known: int = 5, ratio: float = 8.0) -> DataFrame:
+    """(key, right, n_right): forms hardly known to clean files, with the well-known forms of their glyph group."""
+    v = counts.where("not term rlike '[ @/:_]' and term rlike '\\\\p{L}' and length(term) >= 2").select(F.col("term").alias("word"), "clean", "scanned")
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
     digits = F.length(F.regexp_replace("word", r"[^0-9]", ""))
-    v = vocab.where(r"not word rlike '[@/:_]' and word rlike '\\p{L}'").withColumn("skeleton", glyph_skeleton(F.col("word")))
-    good = v.where((F.col("clean") >= min_known) & ~F.col("word").rlike("[0-9]")).select("skeleton", F.col("word").alias("right"), F.col("clean").alias("n_right"))
-    odd = v.where((F.col("scanned") > 0) & (letters >= 1) & (F.length("word") >= 2)).where((F.col("clean") * 4 <= F.col("scanned")) & (digits <= letters))
-    option = odd.join(good, "skeleton").where((F.col("right") != F.col("word")) & (F.col("n_right") >= F.lit(ratio) * F.col("scanned") ** 0.5) & (F.col("n_right") > F.col("scanned")))
-    option = materialise(option.select(F.col("word").alias("key"), "right", "n_right"))
-    w = Window.partitionBy("chunk_id").orderBy("pos", "i")
-    shown = F.when(~F.col("word").rlike(r"\p{L}") | F.col("word").rlike(r"[0-9].*[0-9].*[0-9]"), "#").otherwise(F.lower("word"))
-    k = tokens.where("word <> ''").withColumn("key", shown).withColumn("before", F.lag("key").over(w)).withColumn("after", F.lead("key").over(w))
-    case = k.join(option, "key").select("chunk_id", "pos", "i", "word", "right", "n_right", "before", "after")
-    case = materialise(case)
-    want = case.select(F.concat_ws(" ", "before", "right").alias("pair")).unionByName(case.select(F.concat_ws(" ", "right", "after").alias("pair"))).distinct()
-    support = counts.join(want, "pair", "left_semi").select("pair", (F.col("clean") + F.col("scanned")).alias("n"))
-    s = case.join(support.select(F.col("pair").alias("p1"), F.col("n").alias("s1")), F.concat_ws(" ", "before", "right") == F.col("p1"), "left")
-    s = s.join(support.select(F.col("pair").alias("p2"), F.col("n").alias("s2")), F.concat_ws(" ", "right", "after") == F.col("p2"), "left").na.fill(0, ["s1", "s2"])
-    best = s.where(F.col("s1") + F.col("s2") >= 2).groupBy("chunk_id", "pos", "i", "word").agg(F.max_by("right", F.struct(F.col("s1") + F.col("s2"), "n_right", "right")).alias("right"))
+    good = v.where((F.col("clean") >= min_known) & ~F.col("word").rlike("[0-9]")).select(glyph_skeleton(F.col("word")).alias("skeleton"), F.col("word").alias("right"), F.col("clean").alias("n_right"))
+    odd = v.where((F.col("scanned") > 0) & (F.col("clean") * 4 <= F.col("scanned")) & (digits <= letters)).withColumn("skeleton", glyph_skeleton(F.col("word")))
+    option = odd.join(good, "skeleton").where((F.col("right") != F.col("word")) & (F.col("n_right") >= F.lit(ratio) * F.sqrt("scanned")) & (F.col("n_right") > F.col("scanned")))
+    return option.select(F.col("word").alias("key"), "right", "n_right")
+
+
+def misread(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """(chunk_id, pos, i, word, divided, right) of every misread token of the running text."""
+    option = small_side(materialise(readings(counts)))
+    k = tokens.withColumn("word", bare_word(F.col("raw"))).withColumn("key", F.lower("word"))
+    plain = lambda c: F.when(F.col(c).rlike(CODE), "0").otherwise(F.lower(bare_word(F.col(c))))
+    case = materialise(k.join(option, "key").withColumn("before", plain("before")).withColumn("after", plain("after")).drop("raw"))
+    want = case.select(F.concat_ws(" ", "before", "right").alias("term")).unionByName(case.select(F.concat_ws(" ", "right", "after").alias("term"))).distinct()
+    support = materialise(counts.join(small_side(want), "term", "left_semi").select("term", (F.col("clean") + F.col("scanned")).alias("n")))
+    s = case.join(small_side(support.select(F.col("term").alias("p1"), F.col("n").alias("s1"))), F.concat_ws(" ", "before", "right") == F.col("p1"), "left")
+    s = s.join(small_side(support.select(F.col("term").alias("p2"), F.col("n").alias("s2"))), F.concat_ws(" ", "right", "after") == F.col("p2"), "left").na.fill(0, ["s1", "s2"])
+    best = s.where(F.col("s1") + F.col("s2") >= 2).groupBy("chunk_id", "pos", "i", "word", "divided").agg(F.max(F.struct(F.col("s1") + F.col("s2"), "n_right", "right")).alias("m")).withColumn("right", F.col("m.right"))
     upper = F.regexp_replace("word", r"[^\p{L}]", "")
     right = F.when((F.upper(upper) == upper) & (F.length(upper) > 1), F.upper("right")).when(F.substring("word", 1, 1).rlike(r"\p{Lu}"), F.concat(F.upper(F.substring("right", 1, 1)), F.expr("substring(right, 2)"))).otherwise(F.col("right"))
-    return best.select("chunk_id", "pos", "i", "word", right.alias("right"))
+    return best.select("chunk_id", "pos", "i", "word", "divided", right.alias("right"))
 
 
 def analyse(chunks: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(parts, whole, tokens, wrong): the lines with their part, the divided words, the running tokens and
     the misread ones."""
-    counts = materialise(pair_counts(chunks, evidence))
+    counts = materialise(term_counts(chunks, evidence))
     parts = materialise(furniture(ocr_lines(chunks, evidence), counts))
     body = divided(parts)
-    vocab = materialise(vocabulary(chunks, evidence))
-    whole = materialise(whole_words(body, vocab))
-    tokens = materialise(running_tokens(body, whole))
-    return parts, whole, tokens, misread(tokens, vocab, counts)
+    whole = materialise(whole_words(body, counts))
+    tokens = running_tokens(body, whole)
+    return parts, whole, tokens, misread(tokens, counts)
 
 
 def found(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
     parts, whole, tokens, wrong = analyse(chunks, evidence)
     lines = parts.where("part in ('header', 'pagenum')").select("chunk_id", F.col("part").alias("defect"), F.col("bare").alias("piece"))
-    last = tokens.groupBy("chunk_id", "pos").agg(F.max("i").alias("i"))
-    right = wrong.join(last, ["chunk_id", "pos", "i"]).select("chunk_id", "pos", "right")
+    right = wrong.where("divided").select("chunk_id", "pos", "right")
     hyphen = whole.join(right, ["chunk_id", "pos"], "left").select("chunk_id", F.lit("hyphen").alias("defect"), F.coalesce("right", bare_word(F.col("word"))).alias("piece"))
     glyph = wrong.select("chunk_id", F.lit("glyph").alias("defect"), F.col("right").alias("piece"))
     return lines.unionByName(hyphen).unionByName(glyph).where("piece <> ''").distinct()
@@ -206,7 +203,7 @@ def paragraphs(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
     """(evidence_id, paragraph, text): the readable paragraphs of every scanned file, in order. A blank line
     ends a paragraph; the pieces of a file follow one another by source_location."""
     parts, whole, tokens, wrong = analyse(chunks, evidence)
-    fixed = tokens.join(wrong.select("chunk_id", "pos", "i", "word", "right"), ["chunk_id", "pos", "i", "word"], "left")
+    fixed = tokens.join(wrong.select("chunk_id", "pos", "i", "word", "right"), ["chunk_id", "pos", "i"], "left")
     fixed = fixed.withColumn("out", F.when(F.col("right").isNull(), F.col("raw")).otherwise(F.expr("replace(raw, word, right)")))
     line = fixed.groupBy("chunk_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "out"))), lambda x: x["out"]), " ").alias("line_text"))
     file = Window.partitionBy("evidence_id").orderBy(F.col("start").asc_nulls_last(), F.col("chunk_index").asc_nulls_last(), "chunk_id", "pos")
