@@ -41,7 +41,7 @@ SAMPLE_PER_LANGUAGE = 300
 PROFILE_SIZE = 1500
 MIN_LETTERS = 12
 UNSURE = 0.12
-MIN_CONFIDENCE = 0.02
+MIN_CONFIDENCE = 0.04
 
 _TERMINAL = tuple(a + b for a in ".!?…" for b in ("", '"', "”", "»", "'", ")", "’"))
 _SCRIPTS = {"latin": regex.compile(r"\p{Script=Latin}"), "cyrillic": regex.compile(r"\p{Script=Cyrillic}"), "hebrew": regex.compile(r"\p{Script=Hebrew}")}
