@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.llm import cooccur, language, plainform, scans
+from casewright.llm import cooccur, language, plainform, scans, stuffed
 from casewright.sources import table
 
 
@@ -40,7 +40,16 @@ def p5_segments(spark, d):
     return found.select("chunk_id", "segment", "lang", F.round("confidence", 6).alias("confidence"), "letters")
 
 
-QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
+def p10_found(spark, d):
+    return stuffed.found(table(spark, d, "documents"))
+
+
+def p10_curves(spark, d):
+    p = stuffed.pages(table(spark, d, "documents"))
+    return p.select("doc_id", "grp", "tokens", *(F.round(c, 6).alias(c) for c in ("slope", "residual", "divergence", "share")), "flag")
+
+
+QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p10_found": p10_found, "p10_curves": p10_curves, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
 
 P7_PAIRS = """
 with i as (select distinct v.case_id, e.evidence_id, e.text, e.label from extractedentity e
