@@ -99,8 +99,9 @@ def furniture(lines: DataFrame, counts: DataFrame, min_count: int = 3, locked: f
     kind = F.when(F.col("bare") == "", "blank").when(is_page_number(F.col("bare")), "pagenum")
     lines = lines.withColumn("kind", kind)
     open_end = ~F.col("bare").rlike(r"[.!?,;:\-\x{ad}…)\"»”]$")
-    text = lines.where("kind is null").select("chunk_id", "pos", open_end.alias("open_end"), F.transform(plain_words(F.col("bare")), glyph_skeleton).alias("w"))
-    pairs = text.where(F.size("w") >= 2).select("chunk_id", "pos", "open_end", F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> struct(concat(w[i], ' ', w[i + 1]) as pair, size(w) - 2 - i as behind))")).alias("s")).select("chunk_id", "pos", "open_end", "s.pair", "s.behind")
+    skeletons = F.split(glyph_skeleton(F.array_join(plain_words(F.col("bare")), " ")), " ")
+    lines = materialise(lines.withColumn("open_end", open_end).withColumn("w", F.when(F.col("kind").isNull(), skeletons)))
+    pairs = lines.where(F.size("w") >= 2).select("chunk_id", "pos", "open_end", F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> struct(concat(w[i], ' ', w[i + 1]) as pair, size(w) - 2 - i as behind))")).alias("s")).select("chunk_id", "pos", "open_end", "s.pair", "s.behind")
     at = pairs.groupBy("pair", "behind").agg(F.count("*").alias("n"))
     lock = at.groupBy("pair").agg(F.sum("n").alias("total"), F.max_by("behind", "n").alias("usual"), F.max("n").alias("most"))
     running = counts.where("clean > 0 and term like '% %'").withColumnRenamed("term", "pair").groupBy(glyph_skeleton(F.col("pair")).alias("pair")).agg(F.sum("clean").alias("clean"))
@@ -110,7 +111,7 @@ def furniture(lines: DataFrame, counts: DataFrame, min_count: int = 3, locked: f
         F.avg(F.when(F.col("behind") == F.col("usual"), F.col("lock")).otherwise(0.0)).alias("score"), F.max_by(F.col("lock"), -F.col("behind")).alias("last")
     )
     heads = scored.where((F.col("score") >= 0.5) | ((F.col("score") >= 0.25) & (F.col("last") >= locked))).select("chunk_id", "pos", F.lit(True).alias("head"))
-    return lines.join(heads, ["chunk_id", "pos"], "left").withColumn("part", F.coalesce("kind", F.when(F.col("head"), "header"), F.lit("body"))).drop("kind", "head")
+    return lines.drop("open_end", "w").join(heads, ["chunk_id", "pos"], "left").withColumn("part", F.coalesce("kind", F.when(F.col("head"), "header"), F.lit("body"))).drop("kind", "head")
 
 
 def divided(parts: DataFrame) -> DataFrame:
