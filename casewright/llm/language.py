@@ -55,7 +55,7 @@ _MAY_END = regex.compile(rf"[\s(](?:{ENDS})\.$", regex.I)
 _STREET = regex.compile(r"\d[^.]*\sSt\.$")
 _WORD = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}'’׳״-]*")
 _MAIL = regex.compile(r"[\w.+-]+\s*(?:@|[(\[]\s*at\s*[)\]])\s*[\w-]+(?:\s*(?:\.|\bdot\b)\s*[\w-]+)*", regex.I)
-_OTHER = regex.compile(r"\S*[\d@_/]\S*")
+_OTHER = regex.compile(r"[\d@_/]")
 
 
 def declared(code: Column) -> Column:
@@ -74,8 +74,11 @@ def sentences(text: str) -> list[str]:
         at = len(text) if m is None else m.end()
         held = f"{held} {piece.strip()}".strip() if held else piece.strip()
         goes_on = text[at : at + 1].islower() or text[at : at + 1].isdigit()
-        lead = _LEAD.search(held) and not (_STREET.search(held) and not goes_on)
-        whole = held.endswith((".", "!", "?", "…")) and not lead and not (goes_on and _MAY_END.search(held))
+        whole = held.endswith((".", "!", "?", "…"))
+        if whole and held[-1] == "." and len(held[-8:].split()[-1]) <= 6:
+            tail = held[-60:]
+            lead = _LEAD.search(tail) and not (_STREET.search(tail) and not goes_on)
+            whole = not lead and not (goes_on and _MAY_END.search(tail))
         if whole or gap.count("\n") > 1:
             if held:
                 out.append(" ".join(held.split()))
@@ -88,7 +91,9 @@ def sentences(text: str) -> list[str]:
 def core(sentence: str, first: bool = False) -> str:
     """The words that tell of a language: without numbers, codes, addresses of mail, and capitalised words (but
     the first, if asked); lower-cased. Where most words are capitals, all are kept."""
-    words = _WORD.findall(_OTHER.sub(" ", _MAIL.sub(" ", sentence)))
+    if "@" in sentence or "at)" in sentence or "at]" in sentence or "AT)" in sentence:
+        sentence = _MAIL.sub(" ", sentence)
+    words = _WORD.findall(" ".join([t for t in sentence.split() if t.isalpha() or not _OTHER.search(t)]))
     small = [w for i, w in enumerate(words) if not w[0].isupper() or first and i == 0]
     if len(small) < 3:
         small = words if sum(w.isupper() for w in words if len(w) > 1) > len(words) / 2 else small
@@ -130,6 +135,7 @@ class Detector:
     def __init__(self, profiles: dict[str, list[str]], memo: int = 200_000):
         self.profiles = {x: {g: i for i, g in enumerate(p)} for x, p in profiles.items()}
         self.of_core = lru_cache(maxsize=memo)(self._of_core)
+        self.of_sentence = lru_cache(maxsize=memo // 2)(self._of_sentence)
 
     def _of_core(self, text: str) -> tuple[str | None, float]:
         d = sorted((v, k) for k, v in distances(text, self.profiles).items())
@@ -139,18 +145,22 @@ class Detector:
             return d[0][1], 1.0
         return d[0][1], float((d[1][0] - d[0][0]) / max(d[1][0], 1e-9))
 
+    def _of_sentence(self, sentence: str) -> tuple[str | None, float, int]:
+        """(language, confidence, letters compared)."""
+        c = core(sentence)
+        if not c:
+            return None, 0.0, 0
+        lang, sure = self.of_core(c)
+        if sure < UNSURE:
+            lang, sure = self._of_core(core(sentence, first=True))
+        return lang, sure, len(c) - c.count(" ")
+
     def segments(self, text: str) -> list[tuple[int, str, float, int, str]]:
         """(number, language, confidence, letters, sentence) of each sentence that can be told."""
         out = []
         for i, s in enumerate(sentences(text)):
-            if not s.endswith(_TERMINAL):
-                continue
-            c = core(s)
-            letters = sum(map(str.isalpha, c))
-            if letters:
-                lang, sure = self.of_core(c)
-                if sure < UNSURE:
-                    lang, sure = self._of_core(core(s, first=True))
+            if s.endswith(_TERMINAL):
+                lang, sure, letters = self.of_sentence(s)
                 if lang:
                     out.append((i, lang, sure, letters, s))
         return out
