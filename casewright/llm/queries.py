@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.llm import cooccur, language, plainform, scans, stuffed
+from casewright.llm import cooccur, language, neighbours, plainform, scans, stuffed
 from casewright.sources import table
 
 
@@ -49,7 +49,15 @@ def p10_curves(spark, d):
     return p.select("doc_id", "grp", "tokens", *(F.round(c, 6).alias(c) for c in ("slope", "residual", "divergence", "share")), "flag")
 
 
-QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p10_found": p10_found, "p10_curves": p10_curves, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
+def p3_found(spark, d):
+    return neighbours.mutual_pairs(table(spark, d, "evidencechunk")).select("chunk_a", "chunk_b")
+
+
+def p3_nearest(spark, d):
+    return neighbours.nearest(table(spark, d, "evidencechunk")).withColumn("cosine", F.round("cosine", 5))
+
+
+QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p10_found": p10_found, "p10_curves": p10_curves, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
 
 P7_PAIRS = """
 with i as (select distinct v.case_id, e.evidence_id, e.text, e.label from extractedentity e
