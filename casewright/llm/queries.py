@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from casewright.llm import cooccur, language, neighbours, plainform, scans, stuffed
+from casewright.llm import cooccur, language, names, neighbours, plainform, scans, stuffed
 from casewright.sources import table
 
 
@@ -57,7 +58,22 @@ def p3_nearest(spark, d):
     return neighbours.nearest(table(spark, d, "evidencechunk")).withColumn("cosine", F.round("cosine", 5))
 
 
-QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p10_found": p10_found, "p10_curves": p10_curves, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
+def _classes(spark, d):
+    return names.classes(*(table(spark, d, t) for t in ("person", "personlink", "extractedentity", "evidence", "nickname")))
+
+
+def p4_found(spark, d):
+    return names.linked_pairs(_classes(spark, d))
+
+
+def p4_classes(spark, d):
+    of = _classes(spark, d)
+    size = F.count("*").over(Window.partitionBy("case_id", "label"))
+    first = F.min("name").over(Window.partitionBy("case_id", "label"))
+    return of.select("case_id", "name", "kind", first.alias("class_of"), (size - 1).alias("links")).where("links > 0")
+
+
+QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p4_found": p4_found, "p4_classes": p4_classes, "p3_found": p3_found, "p3_nearest": p3_nearest, "p10_found": p10_found, "p10_curves": p10_curves, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
 
 P7_PAIRS = """
 with i as (select distinct v.case_id, e.evidence_id, e.text, e.label from extractedentity e
