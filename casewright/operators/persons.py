@@ -50,7 +50,7 @@ def phone_suggestions(persons: DataFrame, links: DataFrame, chunks: DataFrame, e
     names = names.withColumn("key", F.get(X.words(F.col("name")), F.lit(0))).where("key is not null")
     ev = evidence.where("case_id is not null").select(F.col("id").alias("evidence_id"), "case_id")
     phones = chunks.where("text is not null").select("id", "evidence_id", "text", F.regexp_extract_all("text", F.lit(X.PHONE), F.lit(0)).alias("m"), F.split("text", X.PHONE, -1).alias("g")).where("size(m) > 0").join(ev, "evidence_id")
-    at = F.expr("transform(sequence(0, size(m) - 1), i -> struct(m[i] as phone, aggregate(slice(g, 1, i + 1), 0, (s, x) -> s + length(x)) + aggregate(slice(m, 1, i), 0, (s, x) -> s + length(x)) as p))")
+    at = F.expr("transform(if(size(m) > 0, sequence(0, size(m) - 1), cast(array() as array<int>)), i -> struct(get(m, i) as phone, aggregate(slice(g, 1, i + 1), 0, (s, x) -> s + length(x)) + aggregate(slice(m, 1, i), 0, (s, x) -> s + length(x)) as p))")
     withwords = phones.select("id", "case_id", "text", at.alias("ps"), F.explode(F.array_distinct(X.words(F.col("text")))).alias("key"))
     hit = withwords.join(names, ["case_id", "key"]).where(F.expr("contains(text, name)"))
     places = F.expr("filter(sequence(1, length(text) - length(name) + 1), i -> substring(text, i, length(name)) = name)")

@@ -12,7 +12,7 @@ from casewright.operators.evidence import in_case
 def timeline(chunks: DataFrame, evidence: DataFrame, case_id: int | None = None, radius: int = 150) -> DataFrame:
     c = in_case(chunks, evidence, case_id).where("text is not null")
     m = c.select("id", "evidence_id", "chunk_index", "source_location", "text", F.regexp_extract_all("text", F.lit(X.DATE), F.lit(0)).alias("found"), F.split("text", X.DATE, -1).alias("between"))
-    place = F.transform(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.aggregate(F.slice("between", 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("found", 1, i), F.lit(0), lambda s, x: s + F.length(x)))
+    place = F.transform(F.when(F.size("found") > 0, F.sequence(F.lit(0), F.size("found") - 1)), lambda i: F.aggregate(F.slice("between", 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("found", 1, i), F.lit(0), lambda s, x: s + F.length(x)))
     e = m.where("size(found) > 0").select("id", "evidence_id", "chunk_index", "source_location", "text", F.explode(F.arrays_zip(F.col("found").alias("date"), place.alias("at"))).alias("z"))
     e = e.select("id", "evidence_id", "chunk_index", "source_location", "text", F.col("z").getField("date").alias("date"), F.col("z").getField("at").alias("position"))
     lo = F.greatest(F.col("position") - radius, F.lit(0))
