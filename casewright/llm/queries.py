@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from casewright.llm import cooccur, language, names, neighbours, plainform, scans, stuffed
-from casewright.sources import table
+from casewright.llm import cooccur, language, mixing, names, neighbours, packing, plainform, privacy, scans, sizes, stuffed
+from casewright.sources import materialise, table
 
 
 def p7_found(spark, d):
@@ -73,7 +73,45 @@ def p4_classes(spark, d):
     return of.select("case_id", "name", "kind", first.alias("class_of"), (size - 1).alias("links")).where("links > 0")
 
 
-QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p4_found": p4_found, "p4_classes": p4_classes, "p3_found": p3_found, "p3_nearest": p3_nearest, "p10_found": p10_found, "p10_curves": p10_curves, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
+def p1_found(spark, d):
+    return privacy.found(table(spark, d, "evidencechunk"), table(spark, d, "extractedentity"))
+
+
+def p1_redacted(spark, d):
+    chunks = table(spark, d, "evidencechunk").select(F.col("id").alias("key"), "text")
+    return privacy.tagged(chunks).select(F.col("key").alias("chunk_id"), "redacted", F.size("spans").alias("pieces"))
+
+
+STANDARD = 2  # container_id
+
+
+def _capacity(spark, d):
+    return int(table(spark, d, "container").where(F.col("container_id") == STANDARD).first()["capacity"])
+
+
+def p8_pack(spark, d):
+    return packing.pack(sizes.token_sizes(table(spark, d, "documents")).select("doc_id", "tokens"), _capacity(spark, d))
+
+
+def p8_report(spark, d):
+    return packing.report(p8_pack(spark, d), _capacity(spark, d))
+
+
+def _mixed(spark, d):
+    n = materialise(sizes.token_sizes(table(spark, d, "documents")))
+    planned = mixing.plan(n, table(spark, d, "sourcemix"))
+    return mixing.mix(n, planned), planned
+
+
+def p9_mix(spark, d):
+    return _mixed(spark, d)[0]
+
+
+def p9_report(spark, d):
+    return mixing.report(*_mixed(spark, d))
+
+
+QUERIES = {"p7_found": p7_found, "p7_surprise": p7_surprise, "p2_found": p2_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p8_pack": p8_pack, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p4_found": p4_found, "p4_classes": p4_classes, "p3_found": p3_found, "p3_nearest": p3_nearest, "p10_found": p10_found, "p10_curves": p10_curves, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs}
 
 P7_PAIRS = """
 with i as (select distinct v.case_id, e.evidence_id, e.text, e.label from extractedentity e
