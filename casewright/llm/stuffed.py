@@ -91,7 +91,12 @@ def suspects(pages: DataFrame, spread: float = 2.0) -> DataFrame:
     p = pages.where(F.col("tokens") >= MIN_TOKENS).withColumn("bin", F.floor(F.log2("tokens")))
     quartiles = lambda f: F.expr(f"percentile_approx({f}, array(0.25, 0.5, 0.75))").alias(f"q_{f}")
     at_length = p.groupBy("grp", "bin").agg(quartiles("slope"), quartiles("residual"))
-    j = p.join(at_length, ["grp", "bin"]).join(p.groupBy("grp").agg(quartiles("divergence")), "grp")
+    # Pages without a usable label are held against all labelled pages of their script.
+    script = F.when(F.col("grp") == "he", "he").when(F.col("grp").isin("ru", "uk", "cyr"), "cyr").otherwise("lat")
+    p = p.withColumn("script", script)
+    labelled = p.where(~F.col("grp").isin("lat", "cyr")).groupBy("script").agg(F.expr("percentile_approx(divergence, array(0.25, 0.5, 0.75))").alias("q_script"))
+    j = p.join(at_length, ["grp", "bin"]).join(p.groupBy("grp").agg(quartiles("divergence").alias("q_own")), "grp").join(labelled, "script", "left")
+    j = j.withColumn("q_divergence", F.when(F.col("grp").isin("lat", "cyr"), F.coalesce("q_script", "q_own")).otherwise(F.col("q_own")))
     features = ("slope", "residual", "divergence")
     z = {f: (F.col(f) - F.col(f"q_{f}")[1]) / F.least(F.greatest((F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / 1.35, F.lit(0.02)), F.lit(0.1)) for f in features}
     j = j.select("doc_id", "grp", "tokens", *(z[f].alias(f"z_{f}") for f in features), *features)
