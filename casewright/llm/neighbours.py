@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.sources import materialise
+from casewright.sources import materialise, small_side
 
 SAMPLE = 20_000
 CODEWORDS = 64
@@ -231,7 +231,9 @@ def exact_cosine(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     a = reps.select("rid", F.col("v").alias("va"))
     b = reps.select(F.col("rid").alias("other"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    j = pairs.select("rid", "other").join(a, "rid").join(b, "other")
+    # Few pairs come to the vectors rather than the vectors to the pairs; many pairs are shuffled.
+    first = materialise(a.join(small_side(pairs.select("rid", "other"), 200_000), "rid"))
+    j = b.join(small_side(first, 50_000), "other")
     return j.select("rid", "other", (dot / (norm(F.col("va")) * norm(F.col("vb")))).alias("cosine"))
 
 
