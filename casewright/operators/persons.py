@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import exprs as X
 
-# Confidence by distance, half to even on binary values as the reference rounds.
+# Confidence by distance, rounded half to even on binary values.
 CONFIDENCE = [round(0.5 + 0.5 * (1 - d / 120), 2) for d in range(121)]
 
 

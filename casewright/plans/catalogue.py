@@ -1,4 +1,4 @@
-"""The queries of the reference's own operators on the test tables, each with its SQL where SQL can say it."""
+"""The evidence queries on the test tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 

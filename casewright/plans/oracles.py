@@ -137,3 +137,20 @@ SQL = {
     "rtl_detection": f"select id, len(list_filter({W}, lambda w: regexp_full_match(w, '[םןףץך][א-ת]+'))) starts, len(list_filter({W}, lambda w: regexp_full_match(w, '[א-ת]+[םןףץך]'))) ends from evidencechunk where text is not null",
     "stream_index": f"select label, count(*) n from ({FAMILIES}) group by 1",
 }
+
+SQL["audit_chain_build"] = r"""
+with recursive e as (select distinct on (id) *, cast(json_extract_string(details_json, '$.case_id') as bigint) case_id from auditevent),
+p as (select case_id, id, row_number() over (partition by case_id order by id) r, concat(event_type, '|', coalesce(cast(evidence_id as varchar), 'None'), '|',
+  replace(strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', ''), '|', details_json) payload from e),
+h as (select case_id, id, r, sha256('|' || payload) event_hash from p where r = 1
+  union all select p.case_id, p.id, p.r, sha256(h.event_hash || '|' || p.payload) from h join p on p.case_id = h.case_id and p.r = h.r + 1)
+select case_id, id, event_hash from h
+"""
+SQL["ask_citations_only"] = f"""
+with p as (select id, text, {TOK} t from evidencechunk where text is not null),
+h as (select id, text, len(t) n, len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' and t[i+1] = 'warehouse')) tf from p),
+k as (select count(*) docs, avg(len(t)) mean from p), g as (select count(*) df from h where tf > 0),
+s as (select id, text, round(case when ln((docs - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((docs - df + 0.5) / (df + 0.5)) end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)), 6) b from h, k, g where tf > 0),
+r as (select id, text, row_number() over (order by b desc, id) r from s order by r limit 5)
+select case when count(*) = 0 then 'none' else 'citations_only' end "mode", coalesce(string_agg('[' || r || '] ' || substr(text, 1, 80), chr(10) order by r), '') body from r
+"""
