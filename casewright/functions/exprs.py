@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 WORDS = r"[\p{L}\p{N}_]+"
 PHONE = r"(?<!\d)(?:\+972|0)(?:[-\s]?\d){8,10}\b"
 ISRAELI_ID = r"\b\d{9}\b"
-PLATE = r"\b\d{2,3}[-\s]?\d{2,3}[-\s]?\d{2,3}\b"
+# Digits and spaces of any script, as the reference reads them.
+PLATE = r"\b\p{Nd}{2,3}[-\s\p{Z}\x85\x1c-\x1f]?\p{Nd}{2,3}[-\s\p{Z}\x85\x1c-\x1f]?\p{Nd}{2,3}\b"
+HEBREW = r"[\u0590-\u05FF]{2,}"
 DATE = r"\b(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b"
 # Letters with accents and their plain letters, as the tokenizer folds them.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")

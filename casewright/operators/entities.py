@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from casewright.functions import exprs as X
 from casewright.operators.evidence import in_case
 
+# Hebrew words that are no terms.
+HEBREW_STOPWORDS = (
+    "אני אתה את הוא היא אנחנו אתם אתן הם הן של על עם לא כן זה זו אלה היה היו יש "
+    "אין גם או אם כי אבל אשר מתוך בין עוד כל"
+).split()
+
 
 def extract(chunks: DataFrame) -> DataFrame:
     """(id, label, text) of every match of the rules, repeated as often as it stands in the chunk."""
@@ -17,6 +23,7 @@ def extract(chunks: DataFrame) -> DataFrame:
     found = F.concat(
         fam("name", F.filter(w, lambda x: x.rlike("^[A-Z][a-zA-Z]{2,}$"))), fam("name", F.filter(w, lambda x: x.rlike("^[А-ЯЁ][а-яё]{2,}$"))),
         fam("phone", F.transform(X.all_matches(F.col("text"), X.PHONE), lambda x: F.trim(x))), fam("israeli_id", X.all_matches(F.col("text"), X.ISRAELI_ID)),
+        fam("vehicle_plate", X.all_matches(F.col("text"), X.PLATE)), fam("hebrew_term", F.filter(X.all_matches(F.col("text"), X.HEBREW), lambda x: ~x.isin(HEBREW_STOPWORDS))),
     )
     return chunks.where("text is not null").select("id", F.explode(found).alias("e")).select("id", "e.label", "e.text")
 

@@ -101,3 +101,25 @@ def test_scalars(spark):
 def test_dedupe_ties_nulls(spark):
     e = spark.createDataFrame([(1, "h"), (2, "h"), (3, None), (4, "g")], "id long, sha256 string")
     assert {(r.id, r.duplicate) for r in evidence.dedupe(e).collect()} == {(1, False), (2, True), (4, False)}
+
+
+def test_all_entity_families(spark):
+    """Plates and Hebrew terms by the reference's patterns; the other families are what the SQL gives."""
+    import re
+
+    from casewright.operators import entities
+
+    plate, hebrew = re.compile(r"\b\d{2,3}[-\s]?\d{2,3}[-\s]?\d{2,3}\b"), re.compile("[֐-׿]{2,}")
+    texts = ["car 12-345-67 or 12 345 67, id 123456789", "אני ראיתי את הרכב של דוד", "של על", "٣٤٥-٦٧-٨٩ x12-34-56", None, ""]
+    c = spark.createDataFrame(list(enumerate(texts)), "id long, text string").unionByName(spark.read.parquet(f"{DATA}/evidencechunk.parquet").select((F.col("id") + 100).alias("id"), "text"))
+    want = []
+    for r in c.where("text is not null").collect():
+        want += [(r.id, "vehicle_plate", x) for x in plate.findall(r.text)] + [(r.id, "hebrew_term", x) for x in hebrew.findall(r.text) if x not in entities.HEBREW_STOPWORDS]
+    got = [tuple(r) for r in entities.extract(c).where("label in ('vehicle_plate', 'hebrew_term')").collect()]
+    assert len(entities.HEBREW_STOPWORDS) == 32 and sorted(got) == sorted(want) and {r[1] for r in got} == {"vehicle_plate", "hebrew_term"}
+
+
+@pytest.mark.parametrize("name", ["extract_entities", "regex_entity_scan", "stream_index"])
+def test_entity_families_of_the_sql(spark, con, name):
+    ours = catalogue.QUERIES[name](spark, DATA).where("label not in ('vehicle_plate', 'hebrew_term')").toPandas()
+    assert rows(ours) == rows(con.execute(catalogue.SQL[name]).df())
