@@ -15,11 +15,14 @@ def with_case(events: DataFrame) -> DataFrame:
 
 
 def verify(events: DataFrame) -> DataFrame:
-    """(case_id, checked, legacy, broken_at_id): the first row whose prev_hash is not the hash before it."""
+    """(case_id, checked, legacy, broken_at_id): the first row whose prev_hash is not the hash before it, or whose event_hash
+    is not the hash of its own content. Hashes are of UTC times: the session time zone is UTC, as for build."""
     e = with_case(events)
     w = Window.partitionBy("case_id").orderBy("id")
     hashed = e.where("event_hash <> ''").withColumn("before", F.coalesce(F.lag("event_hash").over(w), F.lit("")))
-    bad = hashed.groupBy("case_id").agg(F.count("*").alias("checked"), F.min(F.when(F.col("prev_hash") != F.col("before"), F.col("id"))).alias("broken_at_id"))
+    prev = F.coalesce("prev_hash", F.lit(""))
+    broken = (prev != F.col("before")) | (F.sha2(F.concat_ws("|", prev, payload()), 256) != F.col("event_hash"))
+    bad = hashed.groupBy("case_id").agg(F.count("*").alias("checked"), F.min(F.when(broken, F.col("id"))).alias("broken_at_id"))
     legacy = e.groupBy("case_id").agg(F.count_if(F.col("event_hash") == "").alias("legacy"))
     return legacy.join(bad, "case_id", "left").select("case_id", F.coalesce("checked", F.lit(0)).alias("checked"), "legacy", "broken_at_id")
 
@@ -30,9 +33,14 @@ def iso(ts):
     return F.regexp_replace(full, r"\.000000$", "")
 
 
+def payload():
+    """What is hashed of a row, after the hash before it."""
+    return F.concat_ws("|", "event_type", F.coalesce(F.col("evidence_id").cast("string"), F.lit("None")), iso(F.col("created_at")), "details_json")
+
+
 def payloads(events: DataFrame) -> DataFrame:
     e = with_case(events)
-    return e.select("case_id", "id", F.concat_ws("|", "event_type", F.coalesce(F.col("evidence_id").cast("string"), F.lit("None")), iso(F.col("created_at")), "details_json").alias("payload"))
+    return e.select("case_id", "id", payload().alias("payload"))
 
 
 def build(events: DataFrame) -> DataFrame:

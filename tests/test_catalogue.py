@@ -123,3 +123,14 @@ def test_all_entity_families(spark):
 def test_entity_families_of_the_sql(spark, con, name):
     ours = catalogue.QUERIES[name](spark, DATA).where("label not in ('vehicle_plate', 'hebrew_term')").toPandas()
     assert rows(ours) == rows(con.execute(catalogue.SQL[name]).df())
+
+
+def test_audit_edited_row(spark):
+    """A row edited in place breaks its case, though the links of the chain still fit."""
+    a = spark.read.parquet(f"{DATA}/auditevent.parquet").where("event_hash <> ''")
+    assert audit.verify(a).where("broken_at_id is not null").count() == 0
+    one = a.where("evidence_id is not null").agg(F.max("id")).first()[0]
+    edits = {"event_type": F.lit("other"), "evidence_id": F.col("evidence_id") + 1, "created_at": F.expr("created_at + interval 1 microsecond"), "details_json": F.concat("details_json", F.lit(" "))}
+    for column, new in edits.items():
+        edited = a.withColumn(column, F.when(F.col("id") == one, new).otherwise(F.col(column)))
+        assert [r.broken_at_id for r in audit.verify(edited).where("broken_at_id is not null").collect()] == [one], column
