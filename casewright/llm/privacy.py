@@ -191,15 +191,28 @@ def found(chunks: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def tagged_values(texts: DataFrame, weights: str = WEIGHTS) -> DataFrame:
-    """texts: (text). Result: (text, spans)."""
+    """texts: (text). Result: (text, spans, and the text with placeholders)."""
 
     def run(batches):
         model = Tagger.load(weights)
         for d in batches:
             known = list(d["text"])
-            yield pd.DataFrame({"text": known, "spans": [[{"start_char": a, "end_char": b, "kind": k} for a, b, k in f] for f in find(model, known)]})
+            found = find(model, known)
+            yield pd.DataFrame({"text": known, "spans": [[{"start_char": a, "end_char": b, "kind": k} for a, b, k in s] for s in found], "redacted": [redact(t, s) for t, s in zip(known, found)]})
+
+    return texts.where("text <> ''").select("text").mapInPandas(run, "text string, spans array<struct<start_char:long, end_char:long, kind:string>>, redacted string")
+
 
-    return texts.where("text <> ''").select("text").mapInPandas(run, "text string, spans array<struct<start_char:long, end_char:long, kind:string>>")
+def redacted(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """(field, row_id, redacted, pieces) of every text that is neither null nor empty: placeholders in all three fields."""
+    c = tagged(chunks.select(F.col("id").alias("key"), "text"))
+    out = c.select(F.lit("evidencechunk.text").alias("field"), F.col("key").alias("row_id"), "redacted", F.size("spans").alias("pieces"))
+    for column in ("text", "label"):
+        h = entities.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
+        values = tagged_values(h).select("text", "redacted", F.size("spans").alias("pieces"))
+        rows = entities.select(F.col("id").alias("row_id"), F.col(column).alias("text")).distinct().join(values, "text")
+        out = out.unionByName(rows.select(F.lit(f"extractedentity.{column}").alias("field"), "row_id", "redacted", "pieces"))
+    return out
 
 
 # -- training -------------------------------------------------------------------------------------------------------

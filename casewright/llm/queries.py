@@ -78,8 +78,7 @@ def p1_found(spark, d):
 
 
 def p1_redacted(spark, d):
-    chunks = table(spark, d, "evidencechunk").select(F.col("id").alias("key"), "text")
-    return privacy.tagged(chunks).select(F.col("key").alias("chunk_id"), "redacted", F.size("spans").alias("pieces"))
+    return privacy.redacted(table(spark, d, "evidencechunk"), table(spark, d, "extractedentity"))
 
 
 STANDARD = 2  # container_id

@@ -222,3 +222,15 @@ def test_token_sizes(spark):
     d = spark.createDataFrame([(1, "a", "two words"), (2, None, None), (3, "b", "")], "doc_id long, source string, text string")
     got = {r.doc_id: r.tokens for r in sizes.token_sizes(d).collect()}
     assert got[2] == got[3] == 0 and got[1] >= 2
+
+
+def test_redacted_fields(spark):
+    c = spark.createDataFrame([(1, "Please send the signed statement to night.shift@halvex-office.example. The caller used 052-0005551 and later 050-000-6440."), (2, None), (3, "")], "id long, text string")
+    e = spark.createDataFrame([(7, "clerk7@ostnet.invalid", "email"), (8, None, "clerk8@ostnet.invalid"), (7, "clerk7@ostnet.invalid", "email"), (9, "Velmar Port", None)], "id long, text string, label string")
+    got = {(r.field, r.row_id): (r.redacted, r.pieces) for r in privacy.redacted(c, e).collect()}
+    text, pieces = got.pop(("evidencechunk.text", 1))
+    assert pieces == 3 and text.count("[PHONE]") == 2 and text.startswith("Please send the signed statement to [EMAIL]") and "@" not in text
+    assert got == {
+        ("extractedentity.text", 7): ("[EMAIL]", 1), ("extractedentity.text", 9): ("Velmar Port", 0),
+        ("extractedentity.label", 7): ("email", 0), ("extractedentity.label", 8): ("[EMAIL]", 1),
+    }
