@@ -234,3 +234,12 @@ def test_redacted_fields(spark):
         ("extractedentity.text", 7): ("[EMAIL]", 1), ("extractedentity.text", 9): ("Velmar Port", 0),
         ("extractedentity.label", 7): ("email", 0), ("extractedentity.label", 8): ("[EMAIL]", 1),
     }
+
+
+def test_labels_travel_along_long_chains(spark):
+    """A chain in order, one in mixed order, and a pair."""
+    rng = np.random.default_rng(5)
+    mixed = [100 + int(i) for i in rng.permutation(50)]
+    edges = [(i, i + 1) for i in range(40)] + list(zip(mixed, mixed[1:])) + [(300, 301)]
+    got = {r.node: r.label for r in names.labelled(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in mixed}, 300: 300, 301: 300}
