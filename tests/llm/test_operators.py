@@ -243,3 +243,26 @@ def test_labels_travel_along_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + list(zip(mixed, mixed[1:])) + [(300, 301)]
     got = {r.node: r.label for r in names.labelled(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in mixed}, 300: 300, 301: 300}
+
+
+def test_refined_keys_join_all_near_words():
+    rng = np.random.default_rng(6)
+    words = sorted({"".join(rng.choice(list("abc"), rng.integers(3, 7))) for _ in range(400)})
+    keys = {w: names.refined("h<3hen|w", w, {"abca": ["bbbb"]}) for w in words + ["bbbb"]}
+    for a, b in combinations(words, 2):
+        if names.near(a, b):
+            assert {k for k, _ in keys[a]} & {k for k, _ in keys[b]}
+    assert {k for k, _ in names.refined("h<3hen|w", "abca", {"abca": ["bbbb"]})} & {k for k, _ in keys["bbbb"]}
+
+
+def test_first_letter_variants_meet_in_common_blocks(spark):
+    given = ["w" + "".join(x) for x in __import__("itertools").product("aeo", "dgklmnrst", "aeo", "bdgklmnrstz")][: 3 * names.COMMON_BLOCK : 2]
+    rows = [(i, 1, f"{g.title()} Cohen") for i, g in enumerate(given)] + [(9000, 1, "Willibald Cohen")]
+    per = spark.createDataFrame(rows, "id long, case_id long, name string")
+    ent = spark.createDataFrame([(9, "Willibald Kohen"), (9, "Willibald Marsh")], "evidence_id long, text string")
+    ev = spark.createDataFrame([(9, 1)], "id long, case_id long")
+    li = spark.createDataFrame([], "person_id long, kind string, value string")
+    nick = spark.createDataFrame([], "given string, nick string")
+    assert len(given) > names.COMMON_BLOCK
+    got = {tuple(r) for r in names.linked_pairs(names.classes(per, li, ent, ev, nick)).collect()}
+    assert (1, "Willibald Cohen", "Willibald Kohen") in got and not any("Willibald Marsh" in r for r in got)
