@@ -15,7 +15,7 @@ def p7_found(spark, d):
 
 
 def p7_surprise(spark, d):
-    pairs = cooccur.cooccurrence(table(spark, d, "extractedentity"), table(spark, d, "evidence"))
+    pairs = cooccur.cooccurrence(table(spark, d, "extractedentity"), table(spark, d, "evidence"), min_lift=0.0)
     return pairs.select(*cooccur.PAIR_COLUMNS, "n_a", "n_b", "n_ab", "n", *(F.round(c, 6).alias(c) for c in ("lift", "expected", "p_value", "q_value")))
 
 

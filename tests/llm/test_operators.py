@@ -266,3 +266,30 @@ def test_first_letter_variants_meet_in_common_blocks(spark):
     assert len(given) > names.COMMON_BLOCK
     got = {tuple(r) for r in names.linked_pairs(names.classes(per, li, ent, ev, nick)).collect()}
     assert (1, "Willibald Cohen", "Willibald Kohen") in got and not any("Willibald Marsh" in r for r in got)
+
+
+def test_q_values_rank_all_pairs(spark):
+    """Against Benjamini-Hochberg over every pair of items, by the same tail; the asked pairs do not change a q-value."""
+    rng = np.random.default_rng(8)
+    rows = [(e, f"t{i}", "x") for e in range(40) for i in range(9) if rng.random() < (0.7 if i < 2 else 0.15)] + [(e, t, "x") for e in (3, 5) for t in ("r", "s")]
+    ent = spark.createDataFrame(rows, "evidence_id long, text string, label string")
+    ev = spark.createDataFrame([(e, 1) for e in range(40)], "id long, case_id long")
+    got = {(r.text_a, r.text_b): (r.p_value, r.q_value) for r in cooccur.cooccurrence(ent, ev, 4, 0.0).collect()}
+    at = {}
+    for e, t, _ in rows:
+        at.setdefault(t, set()).add(e)
+    degree = {e: sum(e in s for s in at.values()) for e in range(40) if any(e in s for s in at.values())}
+    sizes_, many = np.unique(list(degree.values()), return_counts=True)
+    items, n_items = np.unique([len(s) for s in at.values()], return_counts=True)
+    x, y = cooccur.fit_null(items.astype(float), n_items.astype(float), sizes_.astype(float), many.astype(float))
+    weight, p = dict(zip(items, x)), {}
+    for a, b in combinations(sorted(at), 2):
+        u, v = weight[len(at[a])] * y, weight[len(at[b])] * y
+        p[a, b] = cooccur.tail(u / (1 + u) * v / (1 + v), many.astype(float), len(at[a] & at[b]))
+    q, least = {}, 1.0
+    for rank, k in reversed(list(enumerate(sorted(p, key=p.get), 1))):
+        q[k] = least = min(least, p[k] * len(p) / rank)
+    assert set(got) == {k for k in p if len(at[k[0]] & at[k[1]]) >= 4} and any(len(at[a]) * 4 > 40 for a, _ in got)
+    assert all(abs(got[k][0] - p[k]) < 1e-9 and abs(got[k][1] - q[k]) < 1e-9 for k in got)
+    some = {(r.text_a, r.text_b): r.q_value for r in cooccur.cooccurrence(ent, ev, 2, 1.5).collect()}
+    assert ("r", "s") in some and all(abs(v - q[k]) < 1e-9 for k, v in some.items())
