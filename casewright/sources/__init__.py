@@ -1,3 +1,5 @@
-from casewright.sources.tables import ensure_checkpoint_dir, materialise, small_side, table
+"""Where rows come from and how intermediate results are kept."""
 
-__all__ = ["ensure_checkpoint_dir", "materialise", "small_side", "table"]
+from casewright.sources.tables import BROADCAST_ROWS, append, ensure_checkpoint_dir, materialise, release, scratch, small_side, spread_out, table
+
+__all__ = ["BROADCAST_ROWS", "append", "ensure_checkpoint_dir", "materialise", "release", "scratch", "small_side", "spread_out", "table"]
