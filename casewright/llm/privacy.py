@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import plainform
-from casewright.llm.tagger import KINDS, Tagger
+from casewright.llm.tagger import KINDS, Tagger, one_thread
 
 WEIGHTS = str(Path(__file__).with_name("privacy_weights.npz"))
 TRAIN_CHUNKS = 2500
@@ -53,6 +53,10 @@ _PAYMENT = regex.compile(r"(?:payment|paiement|pago|zahlung|плат[её]ж|п
 _INVISIBLE = regex.compile(f"[{plainform.INVISIBLE}]")
 _UNUSUAL = regex.compile(f"[{plainform.INVISIBLE}{plainform.SPACES}{plainform.HYPHENS}\\uff01-\\uff5e\\p{{Script=Greek}}]|\\p{{Latin}}\\p{{Cyrillic}}|\\p{{Cyrillic}}\\p{{Latin}}")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+_FIRST_DIGIT = regex.compile(r"[+(]?\p{N}")
+_INITIAL_BEFORE = regex.compile(r"(?<![\p{L}\p{N}.])[\p{Lu}א-ת]\.\s?$")
+_MIDDLE_INITIAL, _GIVEN_BEFORE = regex.compile(r"\p{Lu}\.\s?\p{Lu}"), regex.compile(r"(?<![\p{L}.])\p{Lu}\p{Ll}{2,}\s$")
+_AT, _M_DOT = regex.compile(r"@|\bat\b|＠", regex.I), regex.compile(r"M\.\s+")
 
 
 @lru_cache(maxsize=4096)
@@ -63,7 +67,7 @@ def _looks(c: str) -> str:
 
 def plain_view(text: str) -> tuple[str, list[int] | None]:
     """The text as it looks (problem 2), character for character, and where each character stood; None if unchanged."""
-    if not _UNUSUAL.search(text):
+    if text.isascii() or not _UNUSUAL.search(text):
         return text, None
     at = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
     s = "".join([_looks(text[i]) for i in at])
@@ -96,7 +100,7 @@ def snapped(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     while b > a and (text[b - 1].isspace() or text[b - 1] in ",;:-–—\"«»“”*("):
         b -= 1
     if kind in ("phone", "identity"):
-        m = regex.search(r"[+(]?\p{N}", text[a:b])
+        m = _FIRST_DIGIT.search(text[a:b])
         if not m:
             return None
         a += m.start()
@@ -105,27 +109,30 @@ def snapped(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     elif kind == "name":
         while m := _TITLE.match(text[a:b]) or _monsieur(text, a, b):
             a += m.end()
-        if (m := regex.search(r"(?<![\p{L}\p{N}.])[\p{Lu}א-ת]\.\s?$", text[max(0, a - 4) : a])) and not _monsieur(text, a - len(m[0]), b):
+        if (m := _INITIAL_BEFORE.search(text[max(0, a - 4) : a])) and not _monsieur(text, a - len(m[0]), b):
             a -= len(m[0])
         # A given name before a middle initial.
-        if regex.match(r"\p{Lu}\.\s?\p{Lu}", text[a:b]) and (m := regex.search(r"(?<![\p{L}.])\p{Lu}\p{Ll}{2,}\s$", text[max(0, a - 20) : a])) and not _TITLE.match(m[0]):
+        if _MIDDLE_INITIAL.match(text[a:b]) and (m := _GIVEN_BEFORE.search(text[max(0, a - 20) : a])) and not _TITLE.match(m[0]):
             a -= len(m[0])
     if a >= b:
         return None
     piece, n = text[a:b], digits_of(text[a:b])
-    good = {
-        "email": lambda: regex.search(r"@|\bat\b|＠", piece, regex.I) and len(piece) >= 6,
-        "phone": lambda: 9 <= len(n) <= 13,
-        "identity": lambda: check_digit(n),
-        "address": lambda: n and sum(map(str.isalpha, piece)) >= 3,
-        "name": lambda: sum(map(str.isalpha, piece)) >= 2 and not n,
-    }[kind]()
+    if kind == "email":
+        good = _AT.search(piece) and len(piece) >= 6
+    elif kind == "phone":
+        good = 9 <= len(n) <= 13
+    elif kind == "identity":
+        good = check_digit(n)
+    else:
+        letters = sum(map(str.isalpha, piece))
+        good = n and letters >= 3 if kind == "address" else letters >= 2 and not n
     return (a, b) if good else None
 
 
 def _monsieur(text: str, a: int, b: int):
     """M. before a name in French text is a title, elsewhere an initial."""
-    return regex.match(r"M\.\s+", text[a:b]) if len(_FRENCH.findall(text[max(0, a - 90) : b + 90])) >= 2 else None
+    m = _M_DOT.match(text[a:b])
+    return m if m and len(_FRENCH.findall(text[max(0, a - 90) : b + 90])) >= 2 else None
 
 
 def find(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -168,6 +175,7 @@ def tagged(texts: DataFrame, weights: str = WEIGHTS) -> DataFrame:
     """texts: (key long, text). Result: (key, spans array of start, end, kind, and the text with placeholders)."""
 
     def run(batches):
+        one_thread()
         model = Tagger.load(weights)
         for d in batches:
             known = list(d["text"])
@@ -194,6 +202,7 @@ def tagged_values(texts: DataFrame, weights: str = WEIGHTS) -> DataFrame:
     """texts: (text). Result: (text, spans, and the text with placeholders)."""
 
     def run(batches):
+        one_thread()
         model = Tagger.load(weights)
         for d in batches:
             known = list(d["text"])

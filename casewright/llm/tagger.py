@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from pathlib import Path
+
 import numpy as np
 
 KINDS = ("email", "phone", "identity", "address", "name")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
+#: Texts are tagged in groups of about this many characters, so memory does not grow with the batch.
+GROUP_CHARS = 400_000
+
 #: Characters with a row of their own; others share the row of their class.
 _RANGES = ((0x20, 0x7F), (0xA0, 0x180), (0x400, 0x4A0), (0x5B0, 0x5F5), (0xFF01, 0xFF5F), (0x391, 0x3CA))
 _OWN = {chr(c): i for i, c in enumerate(c for a, b in _RANGES for c in range(a, b))}
@@ -35,6 +41,37 @@ def ids(text: str) -> np.ndarray:
     return np.fromiter(map(_IDS.__getitem__, text), np.int32, len(text))
 
 
+def one_thread() -> None:
+    """Limits the linear algebra of this process to one thread: Spark runs a task on every core already, and the small
+    products here only make further threads spin. Without a known library nothing changes."""
+    for lib in sorted((Path(np.__file__).parent.parent / "numpy.libs").glob("libscipy_openblas*")):
+        try:
+            ctypes.CDLL(str(lib)).scipy_openblas_set_num_threads64_(1)
+        except (OSError, AttributeError):
+            pass
+
+
+# tanh(x) as x * (C + A / (x*x + P) + B / (x*x + Q)), the fourth convergent of its continued fraction in partial
+# fractions; from 3.7 on it is 1. The error is under 0.002.
+TANH_P, TANH_Q = 14 - 133**0.5, 14 + 133**0.5
+TANH_A = (TANH_P * TANH_P - 105 * TANH_P + 945) / (15 * (TANH_Q - TANH_P))
+TANH_B = (TANH_Q * TANH_Q - 105 * TANH_Q + 945) / (15 * (TANH_P - TANH_Q))
+TANH_C = 1 / 15
+
+
+def squash(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> None:
+    """tanh in place by a few passes over arrays that fit the cache; y and z are room of the same shape."""
+    np.multiply(x, x, out=y)
+    np.add(y, np.float32(TANH_P), out=z)
+    np.divide(np.float32(TANH_A), z, out=z)
+    np.add(y, np.float32(TANH_Q), out=y)
+    np.divide(np.float32(TANH_B), y, out=y)
+    np.add(z, y, out=z)
+    np.add(z, np.float32(TANH_C), out=z)
+    np.multiply(x, z, out=x)
+    np.clip(x, np.float32(-1), np.float32(1), out=x)
+
+
 class Tagger:
     """Parameters: E (characters x 4H per direction: embedding and input weights in one table), U (H x 4H), b, W (2H x tags),
     c, T (tags x tags), s (start)."""
@@ -85,12 +122,36 @@ class Tagger:
                 saved.append((g, before, tc, prev))
         return out, saved
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """T x B x tags."""
-        f, _ = self._run(x, "0", False)
-        b, _ = self._run(x[::-1], "1", False)
+    def _scores(self, x: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x, back: T x B, the text and what the backward direction reads. Tag scores T x B x tags of the two directions, as
+        _run and the output weights give them; both go side by side, with tanh by squash, and all room is taken once."""
+        h, (steps, batch) = self.h, x.shape
+        half = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), h)
+        t0, t1 = (np.ascontiguousarray((self.p["E" + d] + self.p["b" + d]) * half) for d in "01")
+        u = np.stack([self.p["U0"] * half, self.p["U1"] * half])
+        out = np.empty((steps, 2, batch, h), np.float32)
+        g, z, y, q = (np.empty((2, batch, 4 * h), np.float32) for _ in range(4))
+        cell, a, b, c = (np.zeros((2, batch, h), np.float32) for _ in range(4))
+        state, g0, g1 = np.zeros((2, batch, h), np.float32), g[0], g[1]
+        s, i, f, o, new = g[..., : 3 * h], g[..., :h], g[..., h : 2 * h], g[..., 2 * h : 3 * h], g[..., 3 * h :]
+        point = np.float32(0.5)
+        for t in range(steps):
+            np.take(t0, x[t], axis=0, out=g0, mode="clip")
+            np.take(t1, back[t], axis=0, out=g1, mode="clip")
+            np.matmul(state, u, out=z)
+            np.add(g, z, out=g)
+            squash(g, y, q)
+            np.multiply(s, point, out=s)
+            np.add(s, point, out=s)
+            np.multiply(cell, f, out=cell)
+            np.multiply(i, new, out=a)
+            np.add(cell, a, out=cell)
+            np.copyto(a, cell)
+            squash(a, b, c)
+            state = out[t]
+            np.multiply(o, a, out=state)
         w = self.p["W"]
-        return f @ w[: self.h] + b[::-1] @ w[self.h :] + self.p["c"]
+        return out[:, 0] @ w[:h], out[:, 1] @ w[h:]
 
     def _back(self, x: np.ndarray, d: str, saved, dout: np.ndarray, grads: dict) -> None:
         h, u = self.h, self.p["U" + d]
@@ -216,48 +277,67 @@ class Tagger:
             paths[t] = tag
         return [paths[:k, j] for j, k in enumerate(lengths)]
 
-    def tag(self, texts: list[str], window: int = 256, overlap: int = 32, batch: int = 512) -> list[np.ndarray]:
+    def tag(self, texts: list[str], window: int = 256, overlap: int = 32, batch: int = 320) -> list[np.ndarray]:
         """Tags of whole texts: overlapping windows are scored, the scores of the overlaps are blended by distance to
-        the window's edge, and one best path is decoded over each whole text."""
+        the window's edge, and one best path is decoded over each whole text. Texts go in groups of GROUP_CHARS characters or
+        of one text, and only texts of like length are padded to one another."""
+        out: list[np.ndarray] = []
+        group, chars = [], 0
+        for t in texts:
+            if group and chars + len(t) > GROUP_CHARS:
+                out += self._tag(group, window, overlap, batch)
+                group, chars = [], 0
+            group.append(t)
+            chars += len(t)
+        return out + self._tag(group, window, overlap, batch)
+
+    def _tag(self, texts: list[str], window: int, overlap: int, batch: int) -> list[np.ndarray]:
         cuts = [(i, at) for i, t in enumerate(texts) for at in range(0, max(len(t) - overlap, 1), window - overlap)]
         coded = [ids(t) for t in texts]
         merged = [np.zeros((len(t), len(TAGS)), np.float32) for t in texts]
-        weight = [np.zeros(len(t), np.float32) for t in texts]
+        weight = [np.zeros((len(t), 1), np.float32) for t in texts]
         cuts.sort(key=lambda c: min(window, len(texts[c[0]]) - c[1]))
+        ramps: dict[int, np.ndarray] = {}
         for k in range(0, len(cuts), batch):
             part = cuts[k : k + batch]
-            size = [min(window, len(texts[i]) - at) for i, at in part]
-            x = np.zeros((max(size), len(part)), np.int32)
-            # Short windows end at the right edge of the pad for the backward pass, so no padding precedes their text.
+            size = np.array([min(window, len(texts[i]) - at) for i, at in part])
+            x = np.zeros((size.max(), len(part)), np.int32)
             for j, (i, at) in enumerate(part):
                 x[: size[j], j] = coded[i][at : at + size[j]]
-            e = self._masked(x, np.array(size))
+            e = np.ascontiguousarray(self._masked(x, size).transpose(1, 0, 2))
             for j, (i, at) in enumerate(part):
-                n = size[j]
-                w = np.minimum(np.arange(n) + 1, np.arange(n, 0, -1)).clip(max=overlap).astype(np.float32)
-                merged[i][at : at + n] += e[:n, j] * w[:, None]
+                n = int(size[j])
+                w = ramps.get(n)
+                if w is None:
+                    w = ramps[n] = np.minimum(np.arange(n) + 1, np.arange(n, 0, -1)).clip(max=overlap).astype(np.float32)[:, None]
+                merged[i][at : at + n] += e[j, :n] * w
                 weight[i][at : at + n] += w
         out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
         order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
-        for k in range(0, len(order), 256):
-            part = order[k : k + 256]
+        while order:
+            # The longest text of a part sets its padded length: at most GROUP_CHARS places, or one text.
+            n = min(256, max(1, GROUP_CHARS // len(texts[order[-1]])))
+            part, order = order[-n:], order[:-n]
             lengths = np.array([len(texts[i]) for i in part])
             e = np.zeros((lengths.max(), len(TAGS), len(part)), np.float32)
             for j, i in enumerate(part):
-                e[: lengths[j], :, j] = merged[i] / weight[i][:, None]
+                e[: lengths[j], :, j] = merged[i] / weight[i]
             for i, path in zip(part, self.viterbi(e, lengths)):
                 out[i] = path
         return out
 
     def _masked(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Emissions of a padded batch; the backward direction reads each text reversed from its own end."""
-        f, _ = self._run(x, "0", False)
-        steps = np.arange(len(x))[:, None]
-        turn = np.where(steps < sizes, sizes - 1 - steps, steps)
-        b, _ = self._run(np.take_along_axis(x, turn, 0), "1", False)
-        b = np.take_along_axis(b, turn[:, :, None], 0)
-        w = self.p["W"]
-        return f @ w[: self.h] + b @ w[self.h :] + self.p["c"]
+        """Tag scores of a padded batch; the backward direction reads each text reversed from its own end."""
+        if (sizes == len(x)).all():
+            f, b = self._scores(x, x[::-1])
+            f += b[::-1]
+        else:
+            steps = np.arange(len(x))[:, None]
+            turn = np.where(steps < sizes, sizes - 1 - steps, steps)
+            f, b = self._scores(x, np.take_along_axis(x, turn, 0))
+            f += np.take_along_axis(b, turn[:, :, None], 0)
+        f += self.p["c"]
+        return f
 
     def save(self, path: str) -> None:
         np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.p.items()})
