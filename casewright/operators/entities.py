@@ -16,15 +16,18 @@ HEBREW_STOPWORDS = (
 ).split()
 
 
-def extract(chunks: DataFrame) -> DataFrame:
-    """(id, label, text) of every match of the rules, repeated as often as it stands in the chunk."""
+def extract(chunks: DataFrame, with_model: bool = False) -> DataFrame:
+    """(id, label, text) of every match of the rules, repeated as often as it stands in the chunk. Beside a model of named
+    entities the families of Latin names and Hebrew terms are left to it."""
     w = X.words(F.col("text"))
     fam = lambda label, arr: F.transform(arr, lambda x: F.struct(F.lit(label).alias("label"), x.alias("text")))
-    found = F.concat(
-        fam("name", F.filter(w, lambda x: x.rlike("^[A-Z][a-zA-Z]{2,}$"))), fam("name", F.filter(w, lambda x: x.rlike("^[А-ЯЁ][а-яё]{2,}$"))),
-        fam("phone", F.transform(X.all_matches(F.col("text"), X.PHONE), lambda x: F.trim(x))), fam("israeli_id", X.all_matches(F.col("text"), X.ISRAELI_ID)),
-        fam("vehicle_plate", X.all_matches(F.col("text"), X.PLATE)), fam("hebrew_term", F.filter(X.all_matches(F.col("text"), X.HEBREW), lambda x: ~x.isin(HEBREW_STOPWORDS))),
-    )
+    rules = [
+        fam("name", F.filter(w, lambda x: x.rlike("^[А-ЯЁ][а-яё]{2,}$"))), fam("phone", F.transform(X.all_matches(F.col("text"), X.PHONE), lambda x: F.trim(x))),
+        fam("israeli_id", X.all_matches(F.col("text"), X.ISRAELI_ID)), fam("vehicle_plate", X.all_matches(F.col("text"), X.PLATE)),
+    ]
+    if not with_model:
+        rules += [fam("name", F.filter(w, lambda x: x.rlike("^[A-Z][a-zA-Z]{2,}$"))), fam("hebrew_term", F.filter(X.all_matches(F.col("text"), X.HEBREW), lambda x: ~x.isin(HEBREW_STOPWORDS)))]
+    found = F.concat(*rules)
     return chunks.where("text is not null").select("id", F.explode(found).alias("e")).select("id", "e.label", "e.text")
 
 
@@ -33,6 +36,16 @@ def counts(entities: DataFrame, evidence: DataFrame | None = None, case_id: int
     return e.groupBy(F.col("text").alias("entity"), F.col("label").alias("type")).agg(F.count("*").alias("count"))
 
 
+def listing(entities: DataFrame, chunks: DataFrame, evidence: DataFrame | None = None, case_id: int | None = None) -> DataFrame:
+    """counts, the most frequent first, ties by text and label; where nothing was extracted yet, the rules are run over all chunks,
+    or nothing is given for a case."""
+    if entities.limit(1).count() or case_id is not None:
+        found = counts(entities, evidence, case_id)
+    else:
+        found = extract(chunks).groupBy(F.col("text").alias("entity"), F.col("label").alias("type")).agg(F.count("*").alias("count"))
+    return found.orderBy(F.desc("count"), "entity", "type")
+
+
 def graph_nodes(entities: DataFrame, most: int = 30) -> DataFrame:
     """The entities of most mentions."""
     named = entities.where("text is not null and label is not null")
@@ -50,6 +63,11 @@ def graph_edges(entities: DataFrame, most: int = 30, edges: int = 200) -> DataFr
     return pairs.orderBy(F.desc("weight"), "a", "a_label", "b", "b_label").limit(edges)
 
 
+def edge_width(edges: DataFrame) -> DataFrame:
+    """edges with the width they are drawn in."""
+    return edges.withColumn("width", F.least(F.col("weight") + 1, F.lit(6)))
+
+
 def graph_layout(nodes: DataFrame) -> DataFrame:
     """Size and place on a circle of radius 300 of every node, in order of count."""
     n = nodes.select("entity", "type", "count", F.row_number().over(Window.orderBy(F.desc("count"), "entity", "type")).alias("rank"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions import exprs as X
@@ -26,10 +27,11 @@ def in_case(df: DataFrame, evidence: DataFrame, case_id: int | None) -> DataFram
 
 
 def dedupe(evidence: DataFrame) -> DataFrame:
-    """(id, sha256, first_id, duplicate): the first registered row of a content hash wins, over all cases. Hashes that very
-    many rows share are handled by aggregation, not by a window over the group."""
-    first = evidence.groupBy("sha256").agg(F.min("id").alias("first_id"))
-    return evidence.select("id", "sha256").join(first, "sha256").select("id", "sha256", "first_id", (F.col("id") > F.col("first_id")).alias("duplicate"))
+    """(id, sha256, first_id, duplicate): the first registered row of a content hash wins, over all cases; a row without a hash
+    is its own first. Hashes that very many rows share are handled by aggregation, not by a window over the group."""
+    first = evidence.where("sha256 is not null").groupBy("sha256").agg(F.min("id").alias("f"))
+    d = evidence.select("id", "sha256").join(first, "sha256", "left").withColumn("first_id", F.coalesce("f", "id"))
+    return d.select("id", "sha256", "first_id", (F.col("id") > F.col("first_id")).alias("duplicate"))
 
 
 def folder_summary(evidence: DataFrame) -> DataFrame:
@@ -59,16 +61,45 @@ def chunk_documents(documents: DataFrame, size: int = 1200, overlap: int = 150)
 
 
 def pack_segments(chunks: DataFrame, evidence: DataFrame, target: int = 1000) -> DataFrame:
-    """Segments of transcribed files, in order of chunk_index and id, packed greedily: a pack closes when its segments hold
-    `target` characters. The fold runs over one file's segments."""
+    """The segments of transcribed files, in order of chunk_index and id, as packs (see packed); blank ones are left out."""
     media = evidence.where("status = 'transcribed'").select(F.col("id").alias("evidence_id")).distinct()
-    seg = chunks.join(media, "evidence_id", "left_semi").where(~X.is_blank(F.col("text"))).groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "id", F.length(X.ustrip(F.col("text"))).alias("n")))).alias("s"))
-    zero = F.expr("struct(cast(array() as array<struct<segments:int,chars:int>>) as done, 0 as k, 0 as n)")
-    fold = F.aggregate("s", zero, lambda a, x: F.when(
-        a["n"] + x["n"] >= target, F.struct(F.concat(a["done"], F.array(F.struct((a["k"] + 1).alias("segments"), (a["n"] + x["n"]).alias("chars")))).alias("done"), F.lit(0).alias("k"), F.lit(0).alias("n"))
-    ).otherwise(F.struct(a["done"].alias("done"), (a["k"] + 1).alias("k"), (a["n"] + x["n"]).alias("n"))))
-    packs = seg.select("evidence_id", fold.alias("f")).select("evidence_id", F.expr("if(f.k > 0, concat(f.done, array(struct(f.k as segments, f.n as chars))), f.done)").alias("p"))
-    return packs.select("evidence_id", F.posexplode("p").alias("pack", "p")).select("evidence_id", "pack", "p.segments", "p.chars")
+    time = lambda i: F.regexp_extract("source_location", r"^time:([0-9]+:[0-9]+)-([0-9]+:[0-9]+)$", i)
+    seg = chunks.join(media, "evidence_id", "left_semi").where(~X.is_blank(F.col("text")))
+    return packed(seg.select("evidence_id", "chunk_index", "id", X.ustrip(F.col("text")).alias("text"), time(1).alias("start"), time(2).alias("end")), target)
+
+
+def packed(segments: DataFrame, target: int = 1000) -> DataFrame:
+    """(evidence_id, pack, segments, chars, text, source_location): segments (evidence_id, chunk_index, id, text, start, end) packed
+    greedily in order; a pack closes when its segments hold `target` characters, and one without text is left out. Where a pack
+    begins depends on all packs before it, so the segments of a file, sorted by the shuffle, stream through one task in batches; only
+    the open pack is held."""
+
+    def fold(batches):
+        key, pack, held = None, 0, []
+
+        def closed():
+            text = " ".join(t for t, _, _ in held).strip()
+            return (key, pack, len(held), sum(len(t) for t, _, _ in held), text, f"time:{held[0][1]}-{held[-1][2]}") if text else None
+
+        for d in batches:
+            out = []
+            for e, t, a, b in zip(d["evidence_id"], d["text"], d["start"], d["end"]):
+                if e != key:
+                    if held and (row := closed()):
+                        out.append(row)
+                    key, pack, held = e, 0, []
+                held.append((t, a, b))
+                if sum(len(x) for x, _, _ in held) >= target:
+                    if row := closed():
+                        out.append(row)
+                        pack += 1
+                    held = []
+            yield pd.DataFrame(out, columns=["evidence_id", "pack", "segments", "chars", "text", "source_location"])
+        if held and (row := closed()):
+            yield pd.DataFrame([row], columns=["evidence_id", "pack", "segments", "chars", "text", "source_location"])
+
+    rows = segments.where("evidence_id is not null").repartition("evidence_id").sortWithinPartitions("evidence_id", "chunk_index", "id")
+    return rows.select("evidence_id", "text", "start", "end").mapInPandas(fold, "evidence_id long, pack int, segments int, chars int, text string, source_location string")
 
 
 def integrity(evidence: DataFrame) -> DataFrame:
@@ -79,6 +110,23 @@ def integrity(evidence: DataFrame) -> DataFrame:
     return evidence.select("id", "filename", F.col("sha256").alias("expected"), actual.alias("actual"), state.alias("state"))
 
 
+def integrity_counts(state: DataFrame) -> DataFrame:
+    """One row (verified, missing, tampered, ok) of rows with a state."""
+    n = {x: F.count_if(F.col("state") == x).alias(x) for x in ("verified", "missing", "tampered")}
+    return state.agg(*n.values()).select(*n, ((F.col("missing") == 0) & (F.col("tampered") == 0)).alias("ok"))
+
+
+def as_listed(evidence: DataFrame) -> DataFrame:
+    """Evidence rows as they are handed out, with the time of intake in ISO form."""
+    from casewright.operators.audit import iso
+
+    return evidence.select("id", "case_id", "original_path", "stored_path", "filename", "sha256", "size_bytes", "mime_type", iso(F.col("imported_at")).alias("imported_at"), "status")
+
+
+def photos(evidence: DataFrame) -> DataFrame:
+    return evidence.where(F.col("mime_type").startswith("image/"))
+
+
 def status_counts(evidence: DataFrame) -> DataFrame:
     return evidence.agg(F.count("*").alias("evidence_total"), F.count_if(F.col("status") == "processing").alias("processing"), (F.count_if(F.col("status") == "processing") > 0).alias("busy"))
 

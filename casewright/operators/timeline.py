@@ -18,7 +18,7 @@ def timeline(chunks: DataFrame, evidence: DataFrame, case_id: int | None = None,
     lo = F.greatest(F.col("position") - radius, F.lit(0))
     hi = F.least(F.col("position") + F.length("date") + radius, F.length("text"))
     snippet = F.concat(F.when(lo > 0, "...").otherwise(""), F.substring("text", lo + 1, hi - lo), F.when(hi < F.length("text"), "...").otherwise(""))
-    return e.select(F.col("id").alias("chunk_id"), "evidence_id", "chunk_index", "position", "date", X.normalised_date(F.col("date")).alias("normalized_date"), snippet.alias("snippet"))
+    return e.select(F.col("id").alias("chunk_id"), "evidence_id", "chunk_index", "source_location", "position", "date", X.normalised_date(F.col("date")).alias("normalized_date"), snippet.alias("snippet"))
 
 
 def ordered(events: DataFrame) -> DataFrame:

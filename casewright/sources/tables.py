@@ -34,24 +34,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch(spark: SparkSession, name: str = "table") -> str:
-    """A new path in the shared folder; what is written there goes with release, at the latest when the program ends."""
+def scratch(spark: SparkSession, name: str = "table", keep: bool = False) -> str:
+    """A new path in the shared folder; what is written there goes with release or, to be kept for later queries, at the end of
+    the program."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casewright-{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(release)
-    _written[path] = spark
+    if keep:
+        atexit.register(_drop, path, spark)
+    else:
+        if not _written:
+            atexit.register(release)
+        _written[path] = spark
     return path
 
 
+def _drop(path: str, spark: SparkSession) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before
+        pass
+
+
 def release() -> None:
     """Removes every scratch table written so far. Call it between queries of a long session, once their results were read."""
     while _written:
-        path, spark = _written.popitem()
-        try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended before
-            pass
+        _drop(*_written.popitem())
 
 
 def materialise(df: DataFrame) -> DataFrame:
