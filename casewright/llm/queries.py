@@ -9,14 +9,18 @@ from casewright.llm import cooccur, language, mixing, names, neighbours, packing
 from casewright.sources import materialise, table
 
 
+#: A pair of p7_found stands in the upper half of the law its count has by chance; the false discovery rate that p7_surprise marks.
+ABOVE_CHANCE, DISCOVERY = 0.5, 0.05
+
+
 def p7_found(spark, d):
-    pairs = cooccur.cooccurrence(table(spark, d, "extractedentity"), table(spark, d, "evidence"), surprise=False)
+    pairs = cooccur.cooccurrence(table(spark, d, "extractedentity"), table(spark, d, "evidence"), level=ABOVE_CHANCE)
     return pairs.select(*cooccur.PAIR_COLUMNS)
 
 
 def p7_surprise(spark, d):
-    pairs = cooccur.cooccurrence(table(spark, d, "extractedentity"), table(spark, d, "evidence"), min_lift=0.0)
-    return pairs.select(*cooccur.PAIR_COLUMNS, "n_a", "n_b", "n_ab", "n", *(F.round(c, 6).alias(c) for c in ("lift", "expected", "p_value", "q_value")))
+    pairs = cooccur.cooccurrence(table(spark, d, "extractedentity"), table(spark, d, "evidence"), min_lift=0.0, ranks=True)
+    return pairs.select(*cooccur.PAIR_COLUMNS, "n_a", "n_b", "n_ab", "n", *(F.round(c, 6).alias(c) for c in ("lift", "expected", "p_value", "q_value")), (F.col("q_value") <= DISCOVERY).alias("discovery"))
 
 
 def p2_found(spark, d):

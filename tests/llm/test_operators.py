@@ -38,6 +38,12 @@ def test_null_model_keeps_degrees_and_tail():
     assert p.shape == (3, 2) and (p >= 0).all() and (p <= 1).all()
     assert abs(cooccur.tail(np.array([0.5]), np.array([4]), 4) - 0.5**4) < 1e-12
     assert cooccur.tail(np.array([0.3]), np.array([4]), 0) == 1.0
+    assert abs(cooccur.tail(np.array([1e-9]), np.array([3]), 2) / 3e-18 - 1) < 1e-6
+    p = rng_p = np.random.default_rng(0).random(12) * 0.3
+    law = np.array([1.0])
+    for q in rng_p:
+        law = np.convolve(law, [1 - q, q])
+    assert all(abs(cooccur.tail(p, np.ones(12), k) - law[k:].sum()) < 1e-12 for k in range(1, 9))
 
 
 def test_plain_form(spark):
@@ -274,7 +280,7 @@ def test_q_values_rank_all_pairs(spark):
     rows = [(e, f"t{i}", "x") for e in range(40) for i in range(9) if rng.random() < (0.7 if i < 2 else 0.15)] + [(e, t, "x") for e in (3, 5) for t in ("r", "s")]
     ent = spark.createDataFrame(rows, "evidence_id long, text string, label string")
     ev = spark.createDataFrame([(e, 1) for e in range(40)], "id long, case_id long")
-    got = {(r.text_a, r.text_b): (r.p_value, r.q_value) for r in cooccur.cooccurrence(ent, ev, 4, 0.0).collect()}
+    got = {(r.text_a, r.text_b): (r.p_value, r.q_value) for r in cooccur.cooccurrence(ent, ev, 4, 0.0, ranks=True).collect()}
     at = {}
     for e, t, _ in rows:
         at.setdefault(t, set()).add(e)
@@ -291,5 +297,5 @@ def test_q_values_rank_all_pairs(spark):
         q[k] = least = min(least, p[k] * len(p) / rank)
     assert set(got) == {k for k in p if len(at[k[0]] & at[k[1]]) >= 4} and any(len(at[a]) * 4 > 40 for a, _ in got)
     assert all(abs(got[k][0] - p[k]) < 1e-9 and abs(got[k][1] - q[k]) < 1e-9 for k in got)
-    some = {(r.text_a, r.text_b): r.q_value for r in cooccur.cooccurrence(ent, ev, 2, 1.5).collect()}
+    some = {(r.text_a, r.text_b): r.q_value for r in cooccur.cooccurrence(ent, ev, 2, 1.5, ranks=True).collect()}
     assert ("r", "s") in some and all(abs(v - q[k]) < 1e-9 for k, v in some.items())
