@@ -10,7 +10,7 @@ beyond the last gap open new containers, as many to one as surely fit. Gaps are
 Only items larger than the capacity are divided: into full containers and a remainder that is an item.
 
 Scale: every round is a range sort of the open gaps and a join by rank; histograms (at most capacity rows) and one number
-per partition reach the driver. The number of rounds is about the number of items in the fullest container, not the number
+per partition reach the driver. The rounds are written to one table. The number of rounds is about the number of items in the fullest container, not the number
 of documents. A size that a third of all items share is split by rank.
 
 Edge cases: items of size 0 go to the first container; null texts count as size 0; repeated texts are items of their own; an
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.sizes import ranked
-from casewright.sources import materialise
+from casewright.sources import append, materialise, scratch
 
 
 def pack(items: DataFrame, capacity: int, slower: int = 2) -> DataFrame:
@@ -36,10 +36,12 @@ def pack(items: DataFrame, capacity: int, slower: int = 2) -> DataFrame:
     whole = materialise(items.select("doc_id", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("long").alias("tokens")))
     full = ranked(whole.where(F.col("tokens") > capacity).select("doc_id", F.explode(F.expr(f"sequence(0, cast(tokens div {capacity} as int) - 1)")).alias("part")), "doc_id", "part")
     n_full = full.count()
-    done = [full.select(F.col("rank").alias("container"), "doc_id", "part", F.lit(capacity).cast("long").alias("tokens"))]
+    schema = "container long, doc_id long, part int, tokens long"
+    place = scratch(spark, "packed")
+    keep = lambda d: append(d.selectExpr("cast(container as long) container", "doc_id", "cast(part as int) part", "cast(tokens as long) tokens"), place)
+    keep(full.select(F.col("rank").alias("container"), "doc_id", "part", F.lit(capacity).alias("tokens")))
     rest = whole.select("doc_id", F.expr(f"if(tokens > {capacity}, cast(tokens div {capacity} as int), 0)").alias("part"), F.expr(f"if(tokens > {capacity}, tokens % {capacity}, tokens)").alias("tokens"), (F.col("tokens") > capacity).alias("cut")).where("not (cut and tokens = 0)").drop("cut")
-    zero = rest.where("tokens = 0").select(F.lit(0).cast("long").alias("container"), "doc_id", "part", "tokens")
-    done.append(zero)
+    keep(rest.where("tokens = 0").select(F.lit(0).alias("container"), "doc_id", "part", "tokens"))
     work = materialise(ranked(rest.where("tokens > 0"), F.desc("tokens"), "doc_id", "part"))
     hist = {int(r["tokens"]): int(r["n"]) for r in work.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
     left = np.repeat(np.array(sorted(hist, reverse=True), np.int64), 1)
@@ -60,15 +62,15 @@ def pack(items: DataFrame, capacity: int, slower: int = 2) -> DataFrame:
         n = min(want, n_items - taken)
         part = in_slice(taken, taken + n)
         # Sweep over the histograms: successor of each size and the running maximum of successor - rank.
-        smaller, at, run, shift = 0, 0, None, []
+        smaller, at, run, shift, start = 0, 0, None, [], 0
         values = sorted(gap_hist)
         for size, k in part:
             while at < len(values) and values[at] < size:
                 smaller += gap_hist[values[at]]
                 at += 1
-            start = sum(c for _, c in shift_counts(part, size))
             run = smaller - start if run is None else max(run, smaller - start)
             shift.append((size, run))
+            start += k  # the items of smaller sizes
         shifts = spark.createDataFrame(shift, "tokens long, push long")
         items_now = work.where((F.col("rank") >= taken) & (F.col("rank") < taken + n)).join(F.broadcast(shifts), "tokens").withColumn("i", F.lit(taken + n - 1) - F.col("rank")).withColumn("to", F.col("i") + F.col("push"))
         # Those beyond the last gap are the largest: they open containers, `per` in each.
@@ -89,7 +91,7 @@ def pack(items: DataFrame, capacity: int, slower: int = 2) -> DataFrame:
             placed.append(items_now.where(F.col("i") >= first_out).select((F.lit(next_bin) + F.floor((F.col("i") - first_out) / per)).cast("long").alias("container"), "doc_id", "part", "tokens"))
         now = placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1])
         now = materialise(now)
-        done.append(now)
+        keep(now)
         used = now.groupBy("container").agg(F.sum("tokens").alias("used"))
         old = gaps.select("container", "gap") if gaps is not None else spark.createDataFrame([], "container long, gap long")
         fresh = spark.range(next_bin, next_bin + opened).select(F.col("id").alias("container"), F.lit(capacity).cast("long").alias("gap"))
@@ -103,15 +105,7 @@ def pack(items: DataFrame, capacity: int, slower: int = 2) -> DataFrame:
         gaps = materialise(ranked(new, "gap", "container"))
         gap_hist = {int(r["gap"]): int(r["n"]) for r in gaps.groupBy("gap").agg(F.count("*").alias("n")).collect()}
         n_gaps = sum(gap_hist.values())
-    result = done[0]
-    for d in done[1:]:
-        result = result.unionByName(d)
-    return result
-
-
-def shift_counts(part: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
-    """The entries of part with a smaller size."""
-    return [(s, k) for s, k in part if s < size]
+    return spark.read.schema(schema).parquet(place)
 
 
 def report(packed: DataFrame, capacity: int) -> DataFrame:
