@@ -13,8 +13,8 @@
 4. Reflow. The corrected body lines are joined into paragraphs.
 
 Scale: all counts are grouped and combined before the shuffle; windows are partitioned by file and
-text is never collected. Neighbour pairs are counted only where one word is a wanted form. A file of very many chunks
-is one window partition of lines (it spills to disk; it is not held in memory by Python).
+text is never collected but for the lines of one paragraph. Lines are ordered inside their chunk, so a file of very many chunks is
+one window partition of numbers, a row for each chunk.
 
 Edge cases: null or blank text has no lines and no cases; a file with null location is ordered by
 chunk_index, then id; chunks kept twice are treated each for itself; empty tables give no rows; extra
@@ -66,7 +66,7 @@ def ocr_lines(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
 def is_page_number(bare: Column) -> Column:
     number = r"[0-9OolI]{1,4}"
     word = rf"(?:{PAGE_WORDS})(?:\.|'|׳|’)?\s*"
-    return F.lower(bare).rlike(rf"(?iu)^[\s\[\](){{}}~\-–—*•.|=_<>]*(?:{word})?[\s#№n°.]*{number}(?:\s*(?:/|{OF_WORDS})\s*{number})?[\s\[\](){{}}~\-–—*•|=_<>]*$") & bare.rlike(r"\d") & (F.length(bare) <= 30)
+    return F.lower(bare).rlike(rf"(?iu)^[\s\[\](){{}}~\-–—*•.|=_<>]*(?:{word})?[\s#№n°.]*{number}(?:\s*(?:/|{OF_WORDS})\s*{number})?[\s\[\](){{}}~\-–—*•|=_<>]*$") & bare.rlike(r"\d")
 
 
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -90,7 +90,7 @@ def term_counts(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
     ocr = evidence.where(F.col("status") == OCR_STATUS).select(F.col("id").alias("evidence_id")).distinct().withColumn("ocr", F.lit(1))
     text = F.regexp_replace("text", r"\S+[-\x{ad}]\r?\n\s*\S+", " ")
     w = chunks.where("text is not null").select("evidence_id", "text").join(small_side(ocr), "evidence_id", "left").select("ocr", plain_words(text).alias("w"))
-    terms = w.select("ocr", F.explode(F.expr("concat(w, if(size(w) < 2, array(), transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))")).alias("term")).where("length(term) <= 90")
+    terms = w.select("ocr", F.explode(F.expr("concat(w, if(size(w) < 2, array(), transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))")).alias("term"))
     return terms.groupBy("term").agg((F.count("*") - F.count("ocr")).alias("clean"), F.count("ocr").alias("scanned"))
 
 
@@ -147,7 +147,7 @@ def running_tokens(body: DataFrame, whole: DataFrame) -> DataFrame:
     stands whole at the end of its line."""
     b = body.join(whole.withColumnRenamed("word", "whole"), ["chunk_id", "pos"], "left")
     t = F.split("bare", r"\s+")
-    b = b.withColumn("t", F.when(F.col("joined"), F.slice(t, 2, 1_000_000)).otherwise(t))
+    b = b.withColumn("t", F.when(F.col("joined"), F.slice(t, 2, F.size(t))).otherwise(t))
     b = b.withColumn("t", F.when(F.col("cut"), F.concat(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.array("whole"))).otherwise(F.col("t"))).where("size(t) > 0")
     rows = b.select("chunk_id", "pos", F.posexplode(F.expr("transform(sequence(0, size(t) - 1), i -> struct(t[i] as raw, if(i > 0, t[greatest(i - 1, 0)], last_of_prev) as before, if(i < size(t) - 1, t[least(i + 1, size(t) - 1)], first_of_next) as after, cut and i = size(t) - 1 as divided))")).alias("i", "s"))
     return rows.select("chunk_id", "pos", "i", "s.*").where("raw <> ''")
@@ -207,7 +207,13 @@ def paragraphs(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
     fixed = tokens.join(wrong.select("chunk_id", "pos", "i", "word", "right"), ["chunk_id", "pos", "i"], "left")
     fixed = fixed.withColumn("out", F.when(F.col("right").isNull(), F.col("raw")).otherwise(F.expr("replace(raw, word, right)")))
     line = fixed.groupBy("chunk_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "out"))), lambda x: x["out"]), " ").alias("line_text"))
-    file = Window.partitionBy("evidence_id").orderBy(F.col("start").asc_nulls_last(), F.col("chunk_index").asc_nulls_last(), "chunk_id", "pos")
-    p = parts.withColumn("paragraph", F.sum((F.col("part") == "blank").cast("long")).over(file)).withColumn("at", F.row_number().over(file))
+    # Lines are numbered inside their chunk; a file's window goes over one row for each chunk.
+    chunk = ["evidence_id", "start", "chunk_index", "chunk_id"]
+    file = Window.partitionBy("evidence_id").orderBy(F.col("start").asc_nulls_last(), F.col("chunk_index").asc_nulls_last(), "chunk_id")
+    ends = (F.col("part") == "blank").cast("long")
+    per = parts.groupBy(*chunk).agg(F.sum(ends).alias("ends")).withColumn("before", F.sum("ends").over(file) - F.col("ends")).withColumn("nth", F.row_number().over(file))
+    inside = Window.partitionBy("chunk_id").orderBy("pos")
+    p = parts.withColumn("own", F.sum(ends).over(inside)).join(per.select("chunk_id", "before", "nth"), "chunk_id")
+    p = p.withColumn("paragraph", F.col("before") + F.col("own")).withColumn("at", F.struct("nth", "pos"))
     rows = p.join(line, ["chunk_id", "pos"])
     return rows.groupBy("evidence_id", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line_text"))), lambda x: x["line_text"]), " ").alias("text"))
