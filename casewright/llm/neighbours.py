@@ -5,7 +5,8 @@ coarse codebook (spherical k-means) names the cell of a vector; residual codeboo
 trained one on the residual of the other and then refined together by least squares. A vector is encoded by
 beam search over the codebooks; with the codes the norm of the reconstruction is stored. A query reads, for each
 cell it probes, one table of inner products with the codewords; a vector's score is the sum of its looked-up
-entries over the stored norm. The best `rerank` of a block are reranked with the vectors.
+entries over the stored norm. The best `rerank` of a block, and all that are tied with the last of them, are reranked
+with the vectors.
 
 Codebooks are fitted on a bounded sample: at most SAMPLE vectors of a group, chosen by a hash of the id. Every row
 is encoded and searched.
@@ -13,7 +14,7 @@ is encoded and searched.
 Scale: exact copies are joined to one representative first (at most k + 1 smallest ids are kept: no other copy can be
 among the k nearest of each other, ties going to the smaller id), so a vector that a third of all rows share costs one
 row. Cells are split into blocks of BLOCK rows on the data side and on the query side, so no task holds more than one
-block of each, however hot a cell is. The number of cells grows with the square root of the group. Only codebooks go
+block of each, however hot a cell is. The number of cells grows with the square root of the group up to CELLS. Only codebooks go
 to the driver and back (groups x codewords x dimension).
 
 Edge cases: null, empty, all-zero vectors and such with null, NaN or infinite components are left out; the stated
@@ -27,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.llm.tagger import one_thread
 from casewright.sources import materialise, small_side
 
 SAMPLE = 20_000
@@ -36,6 +38,10 @@ BEAM = 4
 BLOCK = 4096
 PROBE_MARGIN = 0.16
 MAX_PROBES = 12
+#: At most this many cells, as many as the sample can place; beyond, cells are split into more blocks.
+CELLS = 4096
+#: Scores this near to the last one reranked count as tied with it and are reranked too.
+TIED = 1e-4
 
 
 def kmeans(x: np.ndarray, k: int, steps: int = 12, seed: int = 7, spherical: bool = False) -> np.ndarray:
@@ -147,7 +153,8 @@ def unit(v: pd.Series) -> np.ndarray:
 
 
 def fit(reps: DataFrame, sample: int = SAMPLE) -> dict[str, Quantiser]:
-    """A quantiser for each group, from at most `sample` of its vectors; about sqrt(n) cells, between 4 and 1024."""
+    """A quantiser for each group, from at most `sample` of its vectors; about sqrt(n) cells, between 4 and CELLS. There are no more
+    groups than models times lengths up to the longest vector, and a quantiser takes some 100 KB, so they fit the driver."""
     sizes = reps.groupBy("grp").agg(F.count("*").alias("n"))
     w = Window.partitionBy("grp").orderBy(F.xxhash64("rid"), "rid")
     # The hash thins each group to about the sample before anything is shuffled; the rank makes the bound exact.
@@ -156,7 +163,7 @@ def fit(reps: DataFrame, sample: int = SAMPLE) -> dict[str, Quantiser]:
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         n = int(d.n.iloc[0])
-        cells = int(2 ** np.clip(np.round(np.log2(np.sqrt(n))), 2, 10))
+        cells = int(2 ** np.clip(np.round(np.log2(np.sqrt(n))), 2, np.log2(CELLS)))
         q = Quantiser.fit(unit(d.sort_values("rid").v), min(cells, max(1, len(d) // 4)))
         return pd.DataFrame({"grp": [d.grp.iloc[0]], "q": [q.dump()]})
 
@@ -188,15 +195,16 @@ def search(index: DataFrame, queries: DataFrame, quantisers: dict[str, bytes], k
     n = index.groupBy("grp", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("dbs"))
     m = queries.groupBy("grp", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qbs"))
     blocks = materialise(n.join(m, ["grp", "part"]))
-    # blocks has groups x cells rows, bounded by the number of cells
-    left = index.join(F.broadcast(blocks), ["grp", "part"]).select("grp", "part", F.pmod(F.xxhash64("rid"), "dbs").alias("db"), F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"), "rid", "cell", "codes", "norm", "half")
+    blocks = small_side(blocks)  # groups x cells rows
+    left = index.join(blocks, ["grp", "part"]).select("grp", "part", F.pmod(F.xxhash64("rid"), "dbs").alias("db"), F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"), "rid", "cell", "codes", "norm", "half")
     asked = queries.select(F.col("grp").alias("g"), F.col("part").alias("p"), F.col("rid").alias("qid"), F.col("half").alias("qhalf"))
     parts = blocks.select(F.col("grp").alias("g"), F.col("part").alias("p"), "dbs", "qbs")
-    right = asked.join(F.broadcast(parts), ["g", "p"]).select("g", "p", F.explode(F.sequence(F.lit(0), F.col("dbs") - 1)).alias("d"), F.pmod(F.xxhash64("qid", F.lit(1)), "qbs").cast("int").alias("q"), "qid", "qhalf")
+    right = asked.join(small_side(parts), ["g", "p"]).select("g", "p", F.explode(F.sequence(F.lit(0), F.col("dbs") - 1)).alias("d"), F.pmod(F.xxhash64("qid", F.lit(1)), "qbs").cast("int").alias("q"), "qid", "qhalf")
     right = right.withColumn("d", F.col("d").cast("long"))
     loaded: dict[str, Quantiser] = {}
 
     def run(key, d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        one_thread()
         out = {"rid": [], "other": [], "cosine": []}
         if len(d) and len(q):
             if key[0] not in loaded:
@@ -217,10 +225,24 @@ def search(index: DataFrame, queries: DataFrame, quantisers: dict[str, bytes], k
                 least = -1.5 if min_cosine is None else min_cosine - 0.003
                 order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
                 good = np.take_along_axis(exact, order, 1)
-                r, c = np.nonzero(good >= least)
+                # Near copies share their codes and so their scores: all rows tied with the last one are reranked.
+                last = np.take_along_axis(s, top, 1).min(1)
+                tied = np.flatnonzero((s >= last[:, None] - TIED).sum(1) > w)
+                plain = np.ones(len(part), bool)
+                plain[tied] = False
+                r, c = np.nonzero((good >= least) & plain[:, None])
                 out["rid"].append(own[r])
                 out["other"].append(ids[top[r, order[r, c]]])
                 out["cosine"].append(good[r, c].astype(float))
+                for i in tied:
+                    near = np.flatnonzero(s[i] >= last[i] - TIED)
+                    near = near[ids[near] != own[i]]
+                    cosine = x[near] @ y[i]
+                    best = np.lexsort((ids[near], -cosine))[:k]
+                    best = best[cosine[best] >= least]
+                    out["rid"].append(np.repeat(own[i], len(best)))
+                    out["other"].append(ids[near[best]])
+                    out["cosine"].append(cosine[best].astype(float))
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"rid": "int64", "other": "int64", "cosine": "float64"})
 
     left = left.withColumn("db", F.col("db").cast("long")).withColumn("qb", F.col("qb").cast("int"))
