@@ -13,7 +13,8 @@ that differ only in them are compared once per worker (a memo of bounded size; i
 Scale: one pass over the chunks in Arrow batches without a shuffle of text; the label table (id, code) is joined
 after the text is gone. The sample is chosen on the label table alone by a hash of the id.
 
-Edge cases: null, blank and letterless text has no segments. `und`, empty and null labels declare nothing.
+Edge cases: null, blank and letterless text has no segments; a sentence of fewer than MIN_LETTERS comparable letters tells too
+little to be a chunk's language (it has its segment and confidence all the same). `und`, empty and null labels declare nothing.
 Codes are compared by their language (iw = he, fre = fra = fr, en_GB = en). Chunks kept twice count each.
 """
 
@@ -28,6 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.sources import spread_out
+
 LANGUAGES = ("en", "he", "ru", "uk", "fr", "de", "es")
 # ISO 639 codes of the seven languages, old and three-letter forms.
 CODES = {
@@ -203,7 +206,7 @@ def segments(chunks: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
             rows = [(i, *s) for i, t in zip(d["chunk_id"], d["text"]) for s in find.segments(t)]
             yield pd.DataFrame(rows, columns=["chunk_id", "segment", "lang", "confidence", "letters", "text"])
 
-    src = chunks.where("text is not null and id is not null").select(F.col("id").alias("chunk_id"), "text")
+    src = spread_out(chunks.where("text is not null and id is not null").select(F.col("id").alias("chunk_id"), "text"))
     return src.mapInPandas(run, "chunk_id long, segment int, lang string, confidence double, letters int, text string")
 
 
@@ -227,7 +230,7 @@ def chunk_languages(chunks: DataFrame, profiles: dict[str, list[str]], min_lette
                 rows += [(i, lang, sure, n / total) for lang, (sure, n) in seen.items()]
             yield pd.DataFrame(rows, columns=["chunk_id", "lang", "confidence", "share"])
 
-    src = chunks.where("text is not null and id is not null").select(F.col("id").alias("chunk_id"), "text")
+    src = spread_out(chunks.where("text is not null and id is not null").select(F.col("id").alias("chunk_id"), "text"))
     return src.mapInPandas(run, "chunk_id long, lang string, confidence double, share double")
 
 
