@@ -13,6 +13,10 @@ from casewright.sources import materialise, table
 ABOVE_CHANCE, DISCOVERY = 0.5, 0.05
 
 
+#: The vocabulary file the sizes of the queries are counted with.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 def p7_found(spark, d):
     pairs = cooccur.cooccurrence(table(spark, d, "extractedentity"), table(spark, d, "evidence"), level=ABOVE_CHANCE)
     return pairs.select(*cooccur.PAIR_COLUMNS)
@@ -93,7 +97,7 @@ def _capacity(spark, d):
 
 
 def p8_pack(spark, d):
-    return packing.pack(sizes.token_sizes(table(spark, d, "documents")).select("doc_id", "tokens"), _capacity(spark, d))
+    return packing.pack(sizes.token_sizes(table(spark, d, "documents"), TOKENIZER).select("doc_id", "tokens"), _capacity(spark, d))
 
 
 def p8_report(spark, d):
@@ -101,7 +105,7 @@ def p8_report(spark, d):
 
 
 def _mixed(spark, d):
-    n = materialise(sizes.token_sizes(table(spark, d, "documents")))
+    n = materialise(sizes.token_sizes(table(spark, d, "documents"), TOKENIZER))
     planned = mixing.plan(n, table(spark, d, "sourcemix"))
     return mixing.mix(n, planned), planned
 

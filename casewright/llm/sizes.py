@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+from casewright.sources import spread_out
+
 # Fixed value: the public pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are cut for counting at line ends into pieces of about this many characters; a line end ends a token.
 _loaded: dict = {}
 
 
@@ -25,7 +25,7 @@ def encoding(path: str):
     return _loaded[path]
 
 
-def token_sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def token_sizes(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, source, tokens); null texts have 0 tokens."""
 
     def run(batches):
@@ -33,7 +33,7 @@ def token_sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
         for d in batches:
             yield pd.DataFrame({"doc_id": d["doc_id"], "source": d["source"], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in d["text"]]})
 
-    return documents.where("doc_id is not null").select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, tokens long")
+    return spread_out(documents.where("doc_id is not null").select("doc_id", "source", "text")).mapInPandas(run, "doc_id long, source string, tokens long")
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:

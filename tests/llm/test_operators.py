@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.llm import cooccur, language, mixing, names, neighbours, packing, plainform, privacy, scans, sizes, stuffed
+from casewright.llm import cooccur, language, mixing, names, neighbours, packing, plainform, privacy, queries, scans, sizes, stuffed
 from casewright.llm.tagger import Tagger
 
 
@@ -94,6 +94,28 @@ def test_name_pairs(a, b, same):
     assert bool(names.Judge({"bill": ["william"]}).pair(p, q)) is same
 
 
+def test_long_names_are_parsed():
+    a, b = "Wilhelmina" + "a" * 70, "Dregockle" + "b" * 60
+    assert names.parse(f"{a} {b}")["words"] == [a.lower(), b.lower()]
+
+
+def test_near_copies_beyond_the_rerank(spark):
+    """A group of 400 near copies with equal codes: the true nearest are found among them."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((700, 8))
+    x[:400] = x[0] + 1e-4 * rng.standard_normal((400, 8))
+    df = spark.createDataFrame([(i, "m", [float(np.float32(v)) for v in r]) for i, r in enumerate(x)], "id long, embedding_model string, embedding array<float>")
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    near = {}
+    for r in neighbours.nearest(df).collect():
+        near.setdefault(r.chunk_id, []).append(r.cosine)
+    for i in range(0, 400, 20):
+        assert min(near[i]) >= np.sort(s[i])[-5] - 1e-6
+
+
 def test_lcs_brute_force():
     def slow(a, b):
         return 0 if not a or not b else slow(a[1:], b[1:]) + 1 if a[0] == b[0] else max(slow(a[1:], b), slow(a, b[1:]))
@@ -226,7 +248,7 @@ def test_held_out_accuracy():
 
 def test_token_sizes(spark):
     d = spark.createDataFrame([(1, "a", "two words"), (2, None, None), (3, "b", "")], "doc_id long, source string, text string")
-    got = {r.doc_id: r.tokens for r in sizes.token_sizes(d).collect()}
+    got = {r.doc_id: r.tokens for r in sizes.token_sizes(d, queries.TOKENIZER).collect()}
     assert got[2] == got[3] == 0 and got[1] >= 2
 
 
