@@ -3,13 +3,9 @@
 Script-aware repair. A string is taken to compatibility width and precomposed letters, invisible
 characters go, special spaces and hyphens become the plain ones; then every token that mixes
 scripts is repaired: the dominant script of the token is found, and the letters of the other
-scripts are replaced by their look-alikes of that script. Where both directions are possible the
-form that stands in the corpus vocabulary is taken, else the dominant script.
-
-The method named for the problem substitutes only when the result stands in the vocabulary. Names
-that occur once would stay mixed under that rule, while a case is any word of more than one script,
-so the vocabulary only decides between readings here; a token that no reading brings into one
-script stays as it is.
+scripts are replaced by their look-alikes of that script, if the result stands in the vocabulary of the
+corpus. Where both directions do, the more frequent form is taken, at a tie that of the dominant script. A
+token none of whose readings is known stays as it is.
 
 Scale: rows are screened by one regular expression inside the scan stage; only distinct suspicious
 strings reach Python (Arrow batches). The vocabulary is not broadcast: the readings of the mixed
@@ -103,13 +99,13 @@ def _readings_of(batches):
 
 
 def plain_tokens(strings: DataFrame, suspicious: DataFrame) -> DataFrame:
-    """(token, plain) for every mixed token: the reading with the most rows in the corpus vocabulary,
-    the dominant script at a tie or where none is known."""
+    """(token, plain) for every mixed token with a reading in the corpus vocabulary: that with the most rows, the
+    dominant script at a tie."""
     mixed = suspicious.select(F.explode("mixed").alias("token")).distinct()
     options = mixed.mapInPandas(_readings_of, "token string, rank int, reading string")
     words = strings.select(F.explode(F.expr(r"regexp_extract_all(text, '[\\p{L}\\p{M}]+', 0)")).alias("reading"), "n")
     known = words.join(options.select("reading").distinct(), "reading", "left_semi").groupBy("reading").agg(F.sum("n").alias("n"))
-    best = options.join(known, "reading", "left").groupBy("token").agg(F.max_by("reading", F.struct(F.coalesce("n", F.lit(0)), -F.col("rank"))).alias("plain"))
+    best = options.join(known, "reading").groupBy("token").agg(F.max_by("reading", F.struct("n", -F.col("rank"))).alias("plain"))
     return best
 
 
