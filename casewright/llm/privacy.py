@@ -18,6 +18,7 @@ equal spans.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from functools import lru_cache
 from pathlib import Path
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm import plainform
 from casewright.llm.tagger import KINDS, Tagger, one_thread
+from casewright.sources import spread_out
 
 WEIGHTS = str(Path(__file__).with_name("privacy_weights.npz"))
 TRAIN_CHUNKS = 2500
@@ -183,7 +185,7 @@ def tagged(texts: DataFrame, weights: str = WEIGHTS) -> DataFrame:
             yield pd.DataFrame({"key": d["key"], "spans": [[{"start_char": a, "end_char": b, "kind": k} for a, b, k in s] for s in found], "redacted": [redact(t, s) for t, s in zip(known, found)]})
 
     schema = "key long, spans array<struct<start_char:long, end_char:long, kind:string>>, redacted string"
-    return texts.where("text is not null and text <> ''").select("key", "text").mapInPandas(run, schema)
+    return spread_out(texts.where("text is not null and text <> ''").select("key", "text")).mapInPandas(run, schema)
 
 
 def found(chunks: DataFrame, entities: DataFrame) -> DataFrame:
@@ -254,16 +256,21 @@ def labelled_sample(directory: str) -> tuple[list[str], list[np.ndarray]]:
     per, chunks = read("person", ["case_id", "name"]), read("evidencechunk", ["id", "evidence_id", "text"])
     ent = ent[ent.text.notna()].merge(ev, left_on="evidence_id", right_on="id", how="left")
     word = regex.compile(r"[\p{L}\p{M}'’\-]{2,}")
-    bare = lambda t: _strip(t)
+    bare = _strip
     ent["kind"] = [kind_of_value(t, x) for t, x in zip(ent.text, ent.label)]
-    other: set[str] = set()
+    # A word that stands in organisations or places belongs to a name only where it stands more often in persons.
+    in_other, in_person = Counter(), Counter()
     for t, x in zip(ent.text, ent.label):
         if (x or "").lower() in ("organization", "organisation", "org", "location", "loc") and len(t) < 60:
-            other.update(word.findall(t))
+            in_other.update(word.findall(t))
+        elif (x or "").lower() in ("person", "per"):
+            in_person.update(word.findall(bare(t)))
+    in_person.update(w for t in per.name.dropna() for w in word.findall(bare(t)))
+    other = {w for w, n in in_other.items() if n > in_person[w]}
     names: dict[float, set[str]] = {}
     for c, t in [*zip(ent[ent.kind == "name"].case_id, ent[ent.kind == "name"].text), *zip(per.case_id, per.name)]:
         if isinstance(t, str):
-            names.setdefault(c, set()).update(w for w in word.findall(bare(t)) if w not in other or w in ("Cole", "Moss", "Vance", "Ashby"))
+            names.setdefault(c, set()).update(w for w in word.findall(bare(t)) if w not in other)
     given = pd.Series([w for s in names.values() for w in s]).value_counts()
     common = set(given[given >= 4].index)
     streets = ahocorasick.Automaton()
