@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.sizes import ranked
-from casewright.sources import append, materialise, scratch
+from casewright.sources import materialise, scratch
 
 
 def pack(items: DataFrame, capacity: int, slower: int = 2) -> DataFrame:
@@ -38,10 +38,17 @@ def pack(items: DataFrame, capacity: int, slower: int = 2) -> DataFrame:
     n_full = full.count()
     schema = "container long, doc_id long, part int, tokens long"
     place = scratch(spark, "packed")
-    keep = lambda d: append(d.selectExpr("cast(container as long) container", "doc_id", "cast(part as int) part", "cast(tokens as long) tokens"), place)
-    keep(full.select(F.col("rank").alias("container"), "doc_id", "part", F.lit(capacity).alias("tokens")))
+
+    def keep(d: DataFrame, number: int) -> DataFrame:
+        """Writes the rows of a round and reads them from there."""
+        path = f"{place}/round={number}"
+        d.selectExpr("cast(container as long) container", "doc_id", "cast(part as int) part", "cast(tokens as long) tokens").write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    keep(full.select(F.col("rank").alias("container"), "doc_id", "part", F.lit(capacity).alias("tokens")), 0)
     rest = whole.select("doc_id", F.expr(f"if(tokens > {capacity}, cast(tokens div {capacity} as int), 0)").alias("part"), F.expr(f"if(tokens > {capacity}, tokens % {capacity}, tokens)").alias("tokens"), (F.col("tokens") > capacity).alias("cut")).where("not (cut and tokens = 0)").drop("cut")
-    keep(rest.where("tokens = 0").select(F.lit(0).alias("container"), "doc_id", "part", "tokens"))
+    keep(rest.where("tokens = 0").select(F.lit(0).alias("container"), "doc_id", "part", "tokens"), 1)
+    turn = 1
     work = materialise(ranked(rest.where("tokens > 0"), F.desc("tokens"), "doc_id", "part"))
     hist = {int(r["tokens"]): int(r["n"]) for r in work.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
     left = np.repeat(np.array(sorted(hist, reverse=True), np.int64), 1)
@@ -90,8 +97,8 @@ def pack(items: DataFrame, capacity: int, slower: int = 2) -> DataFrame:
         if out:
             placed.append(items_now.where(F.col("i") >= first_out).select((F.lit(next_bin) + F.floor((F.col("i") - first_out) / per)).cast("long").alias("container"), "doc_id", "part", "tokens"))
         now = placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1])
-        now = materialise(now)
-        keep(now)
+        turn += 1
+        now = keep(now, turn)
         used = now.groupBy("container").agg(F.sum("tokens").alias("used"))
         old = gaps.select("container", "gap") if gaps is not None else spark.createDataFrame([], "container long, gap long")
         fresh = spark.range(next_bin, next_bin + opened).select(F.col("id").alias("container"), F.lit(capacity).cast("long").alias("gap"))
@@ -105,7 +112,7 @@ def pack(items: DataFrame, capacity: int, slower: int = 2) -> DataFrame:
         gaps = materialise(ranked(new, "gap", "container"))
         gap_hist = {int(r["gap"]): int(r["n"]) for r in gaps.groupBy("gap").agg(F.count("*").alias("n")).collect()}
         n_gaps = sum(gap_hist.values())
-    return spark.read.schema(schema).parquet(place)
+    return spark.read.schema(schema).parquet(place).select("container", "doc_id", "part", "tokens")
 
 
 def report(packed: DataFrame, capacity: int) -> DataFrame:
