@@ -71,11 +71,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Adds rows to a scratch table, for loops whose result grows by rounds."""
-    df.write.mode("append").option("compression", "zstd").parquet(path)
-
-
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, else unchanged (a shuffle join follows)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
