@@ -3,9 +3,10 @@
 Exact pair counts per case, held against a bipartite configuration null (an item with weight x and
 a basket with weight y meet with probability x*y/(1+x*y), weights fitted so that item frequencies
 and basket sizes are kept in expectation). The tail of the Poisson-binomial law of a pair's count
-is its surprise; pairs above `level` are left out. With ranks, Benjamini-Hochberg over all pairs of a case's items gives the
+is its surprise; pairs above `level`, if one is asked for, are left out. With ranks, Benjamini-Hochberg over all pairs of a case's items gives the
 false discovery rate: every pair that is together at least once has its p-value and its rank, whatever is asked for;
-pairs never together have p = 1 and rank last, and pairs above `discovery` are left out.
+pairs never together have p = 1 and rank last, and pairs above `discovery`, if asked for, are left out. The null keeps the
+sizes of the baskets: where a few large baskets hold all pairs of a case, pairs far above lift 4 are expected by it.
 
 Scale: the self join runs inside baskets, on long item ids, after two prunings that lose no pair
 of the asked kind; counts are combined before the shuffle. A basket or an item that holds a third
@@ -121,13 +122,13 @@ def with_rates(law: DataFrame, weights: DataFrame) -> DataFrame:
     return d.withColumn("raw", raw).withColumn("q_value", F.least(F.min("raw").over(down), F.lit(1.0))).drop("raw", "n_items")
 
 
-def cooccurrence(entities: DataFrame, evidence: DataFrame, min_together: int = 4, min_lift: float = 4.0, level: float = 1.0, ranks: bool = False, discovery: float = 1.0) -> DataFrame:
-    """One row per pair of a case with n_ab >= min_together, n_ab * n >= min_lift * n_a * n_b and a p-value of at most level.
+def cooccurrence(entities: DataFrame, evidence: DataFrame, min_together: int = 4, min_lift: float = 4.0, level: float | None = None, ranks: bool = False, discovery: float | None = None) -> DataFrame:
+    """One row per pair of a case with n_ab >= min_together, n_ab * n >= min_lift * n_a * n_b and, where a level is given, a p-value of at most level.
 
     Both prunings are exact: n_ab <= min(n_a, n_b), so an item in fewer than min_together baskets
     has no pair, and n_ab * n >= lift * n_a * n_b with n_ab <= n_b needs n >= lift * n_a.
     expected and p_value follow, with ranks q_value too (all pairs of the case's items being tested and ranked, also those
-    left out of the result), and then the pairs with a q-value of at most discovery are given."""
+    left out of the result), and then, where discovery is given, the pairs with a q-value of at most that."""
     inc = materialise(incidences(entities, evidence))
     baskets = inc.groupBy("case_id", "evidence_id").agg(F.count("*").alias("degree"))
     sizes = baskets.groupBy("case_id").agg(F.count("*").alias("n"))
@@ -161,8 +162,8 @@ def cooccurrence(entities: DataFrame, evidence: DataFrame, min_together: int = 4
         classes = found.groupBy("case_id", F.least("n_a", "n_b").alias("low"), F.greatest("n_a", "n_b").alias("high"), "n_ab").agg(F.count("*").alias("n"))
     law = materialise(law_of(materialise(classes), weights))
     law = materialise(with_rates(law, weights)) if ranks else law
-    law = law.where(F.col("p_value") <= level)
-    law = (law.where(F.col("q_value") <= discovery) if ranks else law).drop("n")
+    law = law if level is None else law.where(F.col("p_value") <= level)
+    law = (law if discovery is None or not ranks else law.where(F.col("q_value") <= discovery)).drop("n")
     return found.withColumns({"low": F.least("n_a", "n_b"), "high": F.greatest("n_a", "n_b")}).join(small_side(law), ["case_id", "low", "high", "n_ab"]).drop("low", "high")
 
 

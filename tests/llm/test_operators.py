@@ -321,3 +321,20 @@ def test_q_values_rank_all_pairs(spark):
     assert all(abs(got[k][0] - p[k]) < 1e-9 and abs(got[k][1] - q[k]) < 1e-9 for k in got)
     some = {(r.text_a, r.text_b): r.q_value for r in cooccur.cooccurrence(ent, ev, 2, 1.5, ranks=True).collect()}
     assert ("r", "s") in some and all(abs(v - q[k]) < 1e-9 for k, v in some.items())
+
+
+def test_pairs_of_large_baskets_are_found(spark, tmp_path):
+    """Few large baskets among many of one item: the null expects these pairs, the definition asks for them all the same."""
+    import duckdb
+
+    rows = [(e, f"t{i:02d}", "x") for e in range(4) for i in range(60)] + [(e, f"single{e}", "x") for e in range(4, 16)]
+    spark.createDataFrame(rows, "evidence_id long, text string, label string").write.parquet(f"{tmp_path}/extractedentity.parquet")
+    spark.createDataFrame([(e, 1) for e in range(16)], "id long, case_id long").write.parquet(f"{tmp_path}/evidence.parquet")
+    con = duckdb.connect()
+    for t in ("extractedentity", "evidence"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(queries.SQL["p7_found"]).fetchall()
+    got = [tuple(r) for r in queries.p7_found(spark, str(tmp_path)).collect()]
+    assert len(want) == 1770 and sorted(got) == sorted(want)
+    law = cooccur.cooccurrence(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("extractedentity", "evidence")))
+    assert law.agg(F.min("p_value")).first()[0] > 0.5
