@@ -17,6 +17,7 @@ equal spans.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections import Counter
 from functools import lru_cache
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import plainform
-from casewright.llm.tagger import KINDS, Tagger, one_thread
+from casewright.llm.tagger import KINDS, Tagger, code_points, one_thread
 from casewright.sources import spread_out
 
 WEIGHTS = str(Path(__file__).with_name("privacy_weights.npz"))
@@ -54,6 +55,8 @@ _FRENCH = regex.compile(r"\b(?:le|la|les|des|une|est|et|du|au|avec|dans|nie|avoi
 _PAYMENT = regex.compile(r"(?:payment|paiement|pago|zahlung|плат[её]ж|платіж|תשלום)\S*\s+(?:\S+\s+)?$", regex.I)
 _INVISIBLE = regex.compile(f"[{plainform.INVISIBLE}]")
 _UNUSUAL = regex.compile(f"[{plainform.INVISIBLE}{plainform.SPACES}{plainform.HYPHENS}\\uff01-\\uff5e\\p{{Script=Greek}}]|\\p{{Latin}}\\p{{Cyrillic}}|\\p{{Cyrillic}}\\p{{Latin}}")
+_ODD, _LATIN, _CYRILLIC = (regex.compile(x) for x in (f"[{plainform.INVISIBLE}{plainform.SPACES}{plainform.HYPHENS}\\uff01-\\uff5e\\p{{Script=Greek}}]", r"\p{Latin}", r"\p{Cyrillic}"))
+_DECIMAL = re.compile(r"\d")  # what str.isdecimal holds for; regex knows digits of newer scripts that int does not
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _FIRST_DIGIT = regex.compile(r"[+(]?\p{N}")
 _INITIAL_BEFORE = regex.compile(r"(?<![\p{L}\p{N}.])[\p{Lu}א-ת]\.\s?$")
@@ -67,9 +70,27 @@ def _looks(c: str) -> str:
     return p if len(p) == 1 else c
 
 
+@lru_cache(maxsize=1)
+def _signs() -> np.ndarray:
+    """1 for the single characters of _UNUSUAL, 2 Latin, 4 Cyrillic, for every character of the first plane."""
+    signs, plane = np.zeros(0x10000, np.uint8), "".join(map(chr, range(0x10000)))
+    for bit, kind in ((1, _ODD), (2, _LATIN), (4, _CYRILLIC)):
+        signs[[m.start() for m in kind.finditer(plane)]] |= bit
+    return signs
+
+
+def unusual(text: str) -> bool:
+    """Whether _UNUSUAL is found, read from a table where all characters are of the first plane."""
+    c = code_points(text)
+    if len(c) and c.max() > 0xFFFF:
+        return _UNUSUAL.search(text) is not None
+    s = _signs()[c]
+    return bool((s & 1).any() or ((s[1:] | s[:-1]) == 6).any())
+
+
 def plain_view(text: str) -> tuple[str, list[int] | None]:
     """The text as it looks (problem 2), character for character, and where each character stood; None if unchanged."""
-    if text.isascii() or not _UNUSUAL.search(text):
+    if text.isascii() or not unusual(text):
         return text, None
     at = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
     s = "".join([_looks(text[i]) for i in at])
@@ -87,7 +108,7 @@ def check_digit(digits: str) -> bool:
 
 
 def digits_of(text: str) -> str:
-    return "".join(str(int(c)) for c in text if c.isdecimal())
+    return "".join([str(int(c)) for c in _DECIMAL.findall(text)])
 
 
 def snapped(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
@@ -149,14 +170,18 @@ def find(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
 
 def spans_of(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
     out = []
-    tags = np.asarray(tags, np.int64)
-    kinds = (tags + 1) // 2  # 0 outside, else 1 + the number of the kind; odd tags begin a piece
-    starts = np.flatnonzero((kinds > 0) & ((tags % 2 == 1) | (np.diff(kinds, prepend=0) != 0)))
-    if len(starts):
-        breaks = np.append(np.flatnonzero(np.diff(kinds) != 0) + 1, len(tags))
-        stops = np.minimum(breaks[np.searchsorted(breaks, starts, side="right")], np.append(starts[1:], len(tags)))
-        for i, j in zip(starts.tolist(), stops.tolist()):
-            kind = KINDS[int(kinds[i]) - 1]
+    tags = np.asarray(tags)
+    at = np.flatnonzero(tags)
+    if len(at):
+        inside = tags[at]
+        kinds = (inside + 1) // 2  # 1 + the number of the kind; odd tags begin a piece
+        first = np.ones(len(at), bool)
+        first[1:] = (inside[1:] % 2 == 1) | (kinds[1:] != kinds[:-1]) | (at[1:] != at[:-1] + 1)
+        starts = np.flatnonzero(first)
+        last = np.ones(len(at), bool)
+        last[:-1] = first[1:]
+        for i, j, k in zip(at[starts].tolist(), (at[last] + 1).tolist(), kinds[starts].tolist()):
+            kind = KINDS[k - 1]
             s = snapped(text, i, j, kind)
             if s and kind == "name" and out and out[-1][2] == "name" and 0 <= s[0] - out[-1][1] <= 2 and text[out[-1][1] : s[0]].isspace():
                 out[-1] = (out[-1][0], s[1], kind)
@@ -188,15 +213,30 @@ def tagged(texts: DataFrame, weights: str = WEIGHTS) -> DataFrame:
     return spread_out(texts.where("text is not null and text <> ''").select("key", "text")).mapInPandas(run, schema)
 
 
+def pieces(texts: DataFrame, key: str, weights: str = WEIGHTS) -> DataFrame:
+    """texts: (key, text), or (text) where that is the key. Result: (key, kind, start_char), a row for each piece and no texts."""
+
+    def run(batches):
+        one_thread()
+        model = Tagger.load(weights)
+        for d in batches:
+            found = find(model, list(d["text"]))
+            many = np.array([len(s) for s in found], np.int64)
+            flat = [x for s in found for x in s]
+            if flat:  # a frame without rows is not converted to Arrow
+                yield pd.DataFrame({key: d[key].to_numpy().repeat(many), "kind": [k for _, _, k in flat], "start_char": np.array([a for a, _, _ in flat], np.int64)})
+
+    return texts.where("text is not null and text <> ''").mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, kind string, start_char long")
+
+
 def found(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """(field, row_id, kind, start_char) of every piece of personal data."""
-    c = tagged(chunks.select(F.col("id").alias("key"), "text")).select(F.lit("evidencechunk.text").alias("field"), F.col("key").alias("row_id"), F.explode("spans").alias("s"))
-    out = c.select("field", "row_id", "s.kind", "s.start_char")
+    c = pieces(spread_out(chunks.where("text is not null and text <> ''").select(F.col("id").alias("row_id"), "text")), "row_id")
+    out = c.select(F.lit("evidencechunk.text").alias("field"), "row_id", "kind", "start_char")
     for column in ("text", "label"):
         h = entities.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
-        spans = tagged_values(h).select("text", F.explode("spans").alias("s"))
-        rows = entities.select(F.col("id").alias("row_id"), F.col(column).alias("text")).distinct().join(spans, "text")
-        out = out.unionByName(rows.select(F.lit(f"extractedentity.{column}").alias("field"), "row_id", "s.kind", "s.start_char"))
+        rows = entities.select(F.col("id").alias("row_id"), F.col(column).alias("text")).distinct().join(pieces(h, "text"), "text")
+        out = out.unionByName(rows.select(F.lit(f"extractedentity.{column}").alias("field"), "row_id", "kind", "start_char"))
     return out.distinct()
 
 

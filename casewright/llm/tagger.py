@@ -1,12 +1,16 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy: training and decoding."""
+"""A character-level bidirectional LSTM with CRF transitions, in numpy: training and decoding. Scores come from graph.py where its
+library is installed."""
 
 from __future__ import annotations
 
 import ctypes
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 
+from casewright.llm import graph
+
 KINDS = ("email", "phone", "identity", "address", "name")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
@@ -28,17 +32,21 @@ def char_id(c: str) -> int:
     return _CLASSES + (1 if c.isdigit() else 2 if c.isupper() else 3 if c.isalpha() else 4 if c.isspace() else 5)
 
 
-class _Ids(dict):
-    def __missing__(self, c: str) -> int:
-        self[c] = v = char_id(c)
-        return v
+@lru_cache(maxsize=1)
+def _table() -> np.ndarray:
+    """char_id of every character of the first plane."""
+    return np.array([char_id(chr(c)) for c in range(0x10000)], np.int32)
 
 
-_IDS = _Ids()
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def ids(text: str) -> np.ndarray:
-    return np.fromiter(map(_IDS.__getitem__, text), np.int32, len(text))
+    c, table = code_points(text), _table()
+    if not len(c) or c.max() < len(table):
+        return table[c]
+    return np.array([char_id(x) for x in text], np.int32)
 
 
 def one_thread() -> None:
@@ -79,6 +87,7 @@ class Tagger:
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
         self.h = params["U0"].shape[0]
+        self.session = None
 
     @classmethod
     def fresh(cls, hidden: int = 32, seed: int = 3) -> "Tagger":
@@ -257,13 +266,13 @@ class Tagger:
                     self.p[key] -= (rate * (1 - done) + 2e-4) * (m[key] / (1 - 0.9**step)) / (np.sqrt(v2[key] / (1 - 0.997**step)) + 1e-8)
             say(epoch, total / len(groups), time.time() - began)
 
-    def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Best tag paths of B texts at once; e: T x tags x B. No back pointers are kept: on the way back the best
-        predecessor is found anew for the one tag of the path."""
+    def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best tag paths (T x B) of B stretches at once; e: T x tags x B, with the scores of what stands before and after. No
+        back pointers are kept: on the way back the best predecessor is found anew for the one tag of the path."""
         steps, n, batch = e.shape
         trans = np.ascontiguousarray(self.p["T"][:, :, None])
         scores = np.empty_like(e)
-        scores[0] = self.p["s"][:, None] + e[0]
+        scores[0] = e[0]
         for t in range(1, steps):
             np.add((scores[t - 1][:, None, :] + trans).max(0), e[t], out=scores[t])
         into = np.ascontiguousarray(self.p["T"].T)
@@ -275,9 +284,54 @@ class Tagger:
             before = (scores[t].T + into[tag]).argmax(1)
             tag = np.where(t < lengths - 1, before, tag)
             paths[t] = tag
-        return [paths[:k, j] for j, k in enumerate(lengths)]
+        return paths
+
+    def _open(self, e: np.ndarray, first: np.ndarray, last: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """Whether the best path can be inside a piece at each place of e (places x tags; texts, each followed by a gap).
+
+        A run of inner tags between outer ones scores at most the sum of `gain` over its places, plus `edge`, more than outer
+        tags in its stead. A place that is in no run for which this is above zero is outside on the best path."""
+        trans, s = self.p["T"].astype(float), self.p["s"].astype(float)
+        most = trans[1:, 1:].max() - trans[0, 0]
+        enter, leave = trans[0, 1:].max() - trans[0, 0], trans[1:, 0].max() - trans[0, 0]
+        inner = e[:, 1].copy()
+        for k in range(2, e.shape[1]):
+            np.maximum(inner, e[:, k], out=inner)
+        gain = (inner - e[:, 0]).astype(float) + most
+        gain[first] += max(0.0, (s[1:] - s[0]).max() - enter)
+        gain[last] += max(0.0, -leave)
+        gain[gaps] = 0
+        gain[gaps] = -1 - np.maximum(gain, 0).sum()  # no run over a gap is ever the best
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        out = best + enter + leave - most > -1e-3  # for rounding
+        out[gaps] = False
+        return out
 
-    def tag(self, texts: list[str], window: int = 256, overlap: int = 32, batch: int = 320) -> list[np.ndarray]:
+    def decode(self, e: np.ndarray, first: np.ndarray, last: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """Best tag of each place of e, laid out as for _open: the stretches that are open are decoded by viterbi, what lies
+        between them is outside."""
+        out = np.zeros(len(e), np.uint8)
+        is_open = np.concatenate([[False], self._open(e, first, last, gaps), [False]])
+        starts, stops = np.flatnonzero(~is_open[:-1] & is_open[1:]), np.flatnonzero(is_open[:-1] & ~is_open[1:])
+        at_first, at_last = np.isin(starts, first), np.isin(stops - 1, last)
+        order = np.argsort(stops - starts, kind="stable")
+        while len(order):
+            # The longest stretch of a part sets its padded length: at most GROUP_CHARS / 8 places, or one stretch.
+            n = min(512, max(1, GROUP_CHARS // 8 // int(stops[order[-1]] - starts[order[-1]])))
+            part, order = order[-n:], order[:-n]
+            lengths, rows = stops[part] - starts[part], np.arange(len(part))
+            steps = np.arange(lengths.max())[:, None]
+            places = np.minimum(starts[part] + steps, stops[part] - 1)
+            x = e[places]
+            x[0] += np.where(at_first[part, None], self.p["s"], self.p["T"][0])
+            x[lengths - 1, rows] += np.where(at_last[part, None], np.float32(0), self.p["T"][:, 0])
+            paths = self.viterbi(np.ascontiguousarray(x.transpose(0, 2, 1)), lengths)
+            inside = steps < lengths
+            out[places[inside]] = paths[inside]
+        return out
+
+    def tag(self, texts: list[str], window: int = 256, overlap: int = 32, batch: int = 512) -> list[np.ndarray]:
         """Tags of whole texts: overlapping windows are scored, the scores of the overlaps are blended by distance to
         the window's edge, and one best path is decoded over each whole text. Texts go in groups of GROUP_CHARS characters or
         of one text, and only texts of like length are padded to one another."""
@@ -294,8 +348,12 @@ class Tagger:
     def _tag(self, texts: list[str], window: int, overlap: int, batch: int) -> list[np.ndarray]:
         cuts = [(i, at) for i, t in enumerate(texts) for at in range(0, max(len(t) - overlap, 1), window - overlap)]
         coded = [ids(t) for t in texts]
-        merged = [np.zeros((len(t), len(TAGS)), np.float32) for t in texts]
-        weight = [np.zeros((len(t), 1), np.float32) for t in texts]
+        # All texts in one array, each followed by a gap.
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        merged = np.zeros((int(ends[-1]) + 1 if len(texts) else 0, len(TAGS)), np.float32)
+        weight = np.ones((len(merged), 1), np.float32)
         cuts.sort(key=lambda c: min(window, len(texts[c[0]]) - c[1]))
         ramps: dict[int, np.ndarray] = {}
         for k in range(0, len(cuts), batch):
@@ -307,34 +365,38 @@ class Tagger:
             e = np.ascontiguousarray(self._masked(x, size).transpose(1, 0, 2))
             for j, (i, at) in enumerate(part):
                 n = int(size[j])
+                to = slice(int(starts[i]) + at, int(starts[i]) + at + n)
+                if n == len(texts[i]):
+                    merged[to] = e[j, :n]
+                    continue
                 w = ramps.get(n)
                 if w is None:
                     w = ramps[n] = np.minimum(np.arange(n) + 1, np.arange(n, 0, -1)).clip(max=overlap).astype(np.float32)[:, None]
-                merged[i][at : at + n] += e[j, :n] * w
-                weight[i][at : at + n] += w
-        out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
-        order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
-        while order:
-            # The longest text of a part sets its padded length: at most GROUP_CHARS places, or one text.
-            n = min(256, max(1, GROUP_CHARS // len(texts[order[-1]])))
-            part, order = order[-n:], order[:-n]
-            lengths = np.array([len(texts[i]) for i in part])
-            e = np.zeros((lengths.max(), len(TAGS), len(part)), np.float32)
-            for j, i in enumerate(part):
-                e[: lengths[j], :, j] = merged[i] / weight[i]
-            for i, path in zip(part, self.viterbi(e, lengths)):
-                out[i] = path
-        return out
+                merged[to] += e[j, :n] * w
+                weight[to] += w
+        for i in np.flatnonzero(sizes > window):
+            merged[starts[i] : ends[i]] /= weight[starts[i] : ends[i]] - 1
+        some = sizes > 0
+        tags = self.decode(merged, starts[some], ends[some] - 1, ends)
+        return [tags[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+    def _both(self, x: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What _scores gives, by the inference library where there is one."""
+        if self.session is None:
+            self.session = graph.session(self.p) or False
+        if not self.session:
+            return self._scores(x, back)
+        return self.session.run(None, {"x0": x, "x1": np.ascontiguousarray(back), "start": np.zeros((x.shape[1], self.h), np.float32)})
 
     def _masked(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Tag scores of a padded batch; the backward direction reads each text reversed from its own end."""
         if (sizes == len(x)).all():
-            f, b = self._scores(x, x[::-1])
+            f, b = self._both(x, x[::-1])
             f += b[::-1]
         else:
             steps = np.arange(len(x))[:, None]
             turn = np.where(steps < sizes, sizes - 1 - steps, steps)
-            f, b = self._scores(x, np.take_along_axis(x, turn, 0))
+            f, b = self._both(x, np.take_along_axis(x, turn, 0))
             f += np.take_along_axis(b, turn[:, :, None], 0)
         f += self.p["c"]
         return f

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.llm import cooccur, language, mixing, names, neighbours, packing, plainform, privacy, queries, scans, sizes, stuffed
+from casewright.llm import cooccur, graph, language, mixing, names, neighbours, packing, plainform, privacy, queries, scans, sizes, stuffed
 from casewright.llm.tagger import Tagger
 
 
@@ -338,3 +338,33 @@ def test_pairs_of_large_baskets_are_found(spark, tmp_path):
     assert len(want) == 1770 and sorted(got) == sorted(want)
     law = cooccur.cooccurrence(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("extractedentity", "evidence")))
     assert law.agg(F.min("p_value")).first()[0] > 0.5
+
+
+def test_graph_gives_the_scores_of_the_exact_steps():
+    m = Tagger.load(privacy.WEIGHTS)
+    x = np.random.default_rng(1).integers(0, 700, (60, 7)).astype(np.int32)
+    got = graph.session(m.p).run(None, {"x0": x, "x1": x[::-1].copy(), "start": np.zeros((7, m.h), np.float32)})
+    for d, (y, w) in enumerate(zip(got, (m.p["W"][: m.h], m.p["W"][m.h :]))):
+        assert abs(y - m._run(x[:: 1 - 2 * d], str(d), False)[0] @ w).max() < 1e-3
+
+
+def test_decoding_of_open_stretches_is_that_of_the_whole():
+    """Texts of random scores, some strongly outside, against one path over each whole text."""
+    m, rng = Tagger.load(privacy.WEIGHTS), np.random.default_rng(4)
+    sizes_ = [1, 2, 3, 40, 400, 1, 700]
+    gaps = np.cumsum(np.array(sizes_) + 1) - 1
+    firsts = gaps - sizes_
+    e = rng.standard_normal((gaps[-1] + 1, 11)).astype(np.float32)
+    e[:, 0] += np.repeat(rng.choice([0, 2, 6], len(e) // 9 + 1), 9)[: len(e)]
+    got = m.decode(e, firsts, gaps - 1, gaps)
+    for a, b in zip(firsts, gaps):
+        x = e[a:b, :, None].copy()
+        x[0] += m.p["s"][:, None]
+        assert (m.viterbi(x, np.array([b - a]))[:, 0] == got[a:b]).all()
+    assert 0.05 < m._open(e, firsts, gaps - 1, gaps).mean() < 0.95 and (got > 0).any()
+
+
+def test_table_of_signs_is_the_expression():
+    for t in ("Анна", "Аnna", "Anna\u00a0x", "a\u200bb", "", "ab", "αb", "Ａ", "latin кирил", "\U0001f600 Anna", "\U0001f600 Аnna", "Ж\u0301a"):
+        assert privacy.unusual(t) is (privacy._UNUSUAL.search(t) is not None)
+    assert privacy.digits_of("٣4a\U00010d41") == "34"
