@@ -70,6 +70,11 @@ def _looks(c: str) -> str:
     return p if len(p) == 1 else c
 
 
+@lru_cache(maxsize=65536)
+def _one_script(token: str) -> str:
+    return next((r for r in plainform.readings(token) if len(r) == len(token)), token)
+
+
 @lru_cache(maxsize=1)
 def _signs() -> np.ndarray:
     """1 for the single characters of _UNUSUAL, 2 Latin, 4 Cyrillic, for every character of the first plane."""
@@ -92,10 +97,10 @@ def plain_view(text: str) -> tuple[str, list[int] | None]:
     """The text as it looks (problem 2), character for character, and where each character stood; None if unchanged."""
     if text.isascii() or not unusual(text):
         return text, None
-    at = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
+    hidden = {m.start() for m in _INVISIBLE.finditer(text)}
+    at = [i for i in range(len(text)) if i not in hidden]
     s = "".join([_looks(text[i]) for i in at])
-    s = _TOKEN.sub(lambda m: next((r for r in plainform.readings(m[0]) if len(r) == len(m[0])), m[0]), s)
-    return s, at
+    return _TOKEN.sub(lambda m: _one_script(m[0]), s), at
 
 
 def check_digit(digits: str) -> bool:

@@ -331,7 +331,7 @@ class Tagger:
             out[places[inside]] = paths[inside]
         return out
 
-    def tag(self, texts: list[str], window: int = 256, overlap: int = 32, batch: int = 512) -> list[np.ndarray]:
+    def tag(self, texts: list[str], window: int = 256, overlap: int = 32, batch: int = 384) -> list[np.ndarray]:
         """Tags of whole texts: overlapping windows are scored, the scores of the overlaps are blended by distance to
         the window's edge, and one best path is decoded over each whole text. Texts go in groups of GROUP_CHARS characters or
         of one text, and only texts of like length are padded to one another."""
