@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import plainform
-from casewright.llm.tagger import KINDS, Tagger, code_points, one_thread
+from casewright.llm.tagger import GROUP_CHARS, KINDS, Tagger, code_points, joined, one_thread
 from casewright.sources import spread_out
 
 WEIGHTS = str(Path(__file__).with_name("privacy_weights.npz"))
@@ -43,8 +43,18 @@ TITLES = (
     "пан пані свідок громадянин громадянка д-р מר גב גב' גברת דר ד\"ר עד עדה tel phone тел טל טל' name"
 ).split()
 
-_WORDCHAR = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}]")
-_NUMBER, _LOCAL = regex.compile(r"\p{N}"), regex.compile(r"[\w.+\-]")
+class _Characters(dict):
+    """Whether a character is of a class, by the expression of the class where it was not seen before."""
+
+    def __init__(self, expression: str):
+        self.match = regex.compile(expression).match
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = known = self.match(c) is not None
+        return known
+
+
+_WORDCHAR, _NUMBER, _LOCAL = _Characters(r"[\p{L}\p{M}\p{N}\p{Cf}]"), _Characters(r"\p{N}"), _Characters(r"[\w.+\-]")
 _TITLE = regex.compile(rf"^(?:{'|'.join(sorted(map(regex.escape, TITLES), key=len, reverse=True))})(?:[.:'’׳]+\s*|\s+)", regex.I)
 _MAIL = regex.compile(r"[\w.+\-]+\s*(?:@|[(\[]\s*at\s*[)\]])\s*[\w\-]+(?:\s*(?:\.|\bdot\b)\s*[\w\-]+)+", regex.I)
 _PHONE = regex.compile(r"(?<![\w+(])(?:\+?972[\s.\-]?5\d|\(\d{3}\)|\+\d{1,3}|0\d{2,4})(?:[\s.\-]?\d){6,11}(?!\d)")
@@ -93,6 +103,24 @@ def unusual(text: str) -> bool:
     return bool((s & 1).any() or ((s[1:] | s[:-1]) == 6).any())
 
 
+def any_unusual(texts: list[str]) -> list[int]:
+    """The places of the texts that plain_view may change: all texts are read at once, only few of them on their own."""
+    out, group, chars, done = [], [], 0, 0
+    for t in [*texts, None]:
+        if group and (t is None or chars + len(t) > GROUP_CHARS):
+            c, starts, ends = joined(group)
+            s = _signs()[np.minimum(c, 0xFFFF)]
+            signs = (s & 1).astype(bool) | (c > 0xFFFF)
+            signs[1:] |= (s[1:] | s[:-1]) == 6
+            out += (done + np.unique(np.searchsorted(ends, np.flatnonzero(signs)))).tolist()
+            done += len(group)
+            group, chars = [], 0
+        if t is not None:
+            group.append(t)
+            chars += len(t)
+    return out
+
+
 def plain_view(text: str) -> tuple[str, list[int] | None]:
     """The text as it looks (problem 2), character for character, and where each character stood; None if unchanged."""
     if text.isascii() or not unusual(text):
@@ -118,10 +146,10 @@ def digits_of(text: str) -> str:
 
 def snapped(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The exact piece of a tagged stretch, or None where the check of its kind fails."""
-    inside = _WORDCHAR.match if kind in ("name", "address") else _NUMBER.match if kind in ("phone", "identity") else _LOCAL.match
-    while a > 0 and inside(text[a - 1]) and inside(text[a]):
+    inside = _WORDCHAR if kind in ("name", "address") else _NUMBER if kind in ("phone", "identity") else _LOCAL
+    while a > 0 and inside[text[a - 1]] and inside[text[a]]:
         a -= 1
-    while b < len(text) and inside(text[b]) and inside(text[b - 1]):
+    while b < len(text) and inside[text[b]] and inside[text[b - 1]]:
         b += 1
     while a < b and (text[a].isspace() or text[a] in ".,;:-–—'\"«»“”*" or (text[a] in ")]" or text[a] == "(" and kind != "phone")):
         a += 1
@@ -144,15 +172,15 @@ def snapped(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
             a -= len(m[0])
     if a >= b:
         return None
-    piece, n = text[a:b], digits_of(text[a:b])
+    piece = text[a:b]
     if kind == "email":
         good = _AT.search(piece) and len(piece) >= 6
     elif kind == "phone":
-        good = 9 <= len(n) <= 13
+        good = 9 <= len(_DECIMAL.findall(piece)) <= 13
     elif kind == "identity":
-        good = check_digit(n)
+        good = check_digit(digits_of(piece))
     else:
-        letters = sum(map(str.isalpha, piece))
+        letters, n = sum(map(str.isalpha, piece)), _DECIMAL.search(piece)
         good = n and letters >= 3 if kind == "address" else letters >= 2 and not n
     return (a, b) if good else None
 
@@ -165,33 +193,48 @@ def _monsieur(text: str, a: int, b: int):
 
 def find(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """The pieces of personal data of each text, with places in the text as it is stored."""
-    views = [plain_view(t) for t in texts]
-    out = []
-    for (view, at), tags in zip(views, model.tag([v for v, _ in views])):
-        spans = spans_of(view, tags)
-        out.append(spans if at is None else [(at[a], at[b - 1] + 1, k) for a, b, k in spans])
+    views, places = list(texts), {}
+    for i in any_unusual(texts):
+        views[i], places[i] = plain_view(texts[i])
+    out: list[list[tuple[int, int, str]]] = []
+    for starts, ends, tags in model.groups(views):
+        runs = stretches(tags)
+        till = np.searchsorted(runs[0], ends).tolist()
+        a, b, kinds = (r.tolist() for r in runs)
+        lo = 0
+        for start, hi in zip(starts.tolist(), till):
+            spans = pieces_of(views[len(out)], [(a[k] - start, b[k] - start, KINDS[kinds[k]]) for k in range(lo, hi)]) if hi > lo else []
+            at = places.get(len(out))
+            out.append(spans if at is None else [(at[x], at[y - 1] + 1, k) for x, y, k in spans])
+            lo = hi
     return out
 
 
+def stretches(tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and number of the kind of every tagged stretch."""
+    at = np.flatnonzero(tags)
+    inside = tags[at]
+    kinds = (inside + 1) // 2  # 1 + the number of the kind; odd tags begin a piece
+    first = np.ones(len(at), bool)
+    first[1:] = (inside[1:] % 2 == 1) | (kinds[1:] != kinds[:-1]) | (at[1:] != at[:-1] + 1)
+    last = np.ones(len(at), bool)
+    last[:-1] = first[1:]
+    return at[first], at[last] + 1, kinds[first] - 1
+
+
 def spans_of(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
+    return pieces_of(text, [(a, b, KINDS[k]) for a, b, k in zip(*(r.tolist() for r in stretches(np.asarray(tags))))])
+
+
+def pieces_of(text: str, tagged: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The exact pieces of the tagged stretches of a text."""
     out = []
-    tags = np.asarray(tags)
-    at = np.flatnonzero(tags)
-    if len(at):
-        inside = tags[at]
-        kinds = (inside + 1) // 2  # 1 + the number of the kind; odd tags begin a piece
-        first = np.ones(len(at), bool)
-        first[1:] = (inside[1:] % 2 == 1) | (kinds[1:] != kinds[:-1]) | (at[1:] != at[:-1] + 1)
-        starts = np.flatnonzero(first)
-        last = np.ones(len(at), bool)
-        last[:-1] = first[1:]
-        for i, j, k in zip(at[starts].tolist(), (at[last] + 1).tolist(), kinds[starts].tolist()):
-            kind = KINDS[k - 1]
-            s = snapped(text, i, j, kind)
-            if s and kind == "name" and out and out[-1][2] == "name" and 0 <= s[0] - out[-1][1] <= 2 and text[out[-1][1] : s[0]].isspace():
-                out[-1] = (out[-1][0], s[1], kind)
-            elif s and not (out and s[0] < out[-1][1]):
-                out.append((*s, kind))
+    for i, j, kind in tagged:
+        s = snapped(text, i, j, kind)
+        if s and kind == "name" and out and out[-1][2] == "name" and 0 <= s[0] - out[-1][1] <= 2 and text[out[-1][1] : s[0]].isspace():
+            out[-1] = (out[-1][0], s[1], kind)
+        elif s and not (out and s[0] < out[-1][1]):
+            out.append((*s, kind))
     return out
 
 

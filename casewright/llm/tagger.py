@@ -15,7 +15,11 @@ KINDS = ("email", "phone", "identity", "address", "name")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
 #: Texts are tagged in groups of about this many characters, so memory does not grow with the batch.
-GROUP_CHARS = 400_000
+GROUP_CHARS = 1_000_000
+#: Padded places of the stretches that are decoded at once.
+DECODE_PLACES = 50_000
+#: What a further batch of windows costs, in windows: the calls of its steps.
+BATCH_COST = 32
 
 #: Characters with a row of their own; others share the row of their class.
 _RANGES = ((0x20, 0x7F), (0xA0, 0x180), (0x400, 0x4A0), (0x5B0, 0x5F5), (0xFF01, 0xFF5F), (0x391, 0x3CA))
@@ -42,11 +46,38 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all texts in one array, each text followed by a gap (a line end), and where each begins and ends."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes + 1) - 1
+    return code_points("\n".join([*texts, ""])), ends - sizes, ends
+
+
 def ids(text: str) -> np.ndarray:
-    c, table = code_points(text), _table()
+    return ids_of(code_points(text))
+
+
+def ids_of(c: np.ndarray) -> np.ndarray:
+    table = _table()
     if not len(c) or c.max() < len(table):
         return table[c]
-    return np.array([char_id(x) for x in text], np.int32)
+    out = table[np.minimum(c, len(table) - 1)]
+    far = np.flatnonzero(c >= len(table))
+    out[far] = [char_id(chr(x)) for x in c[far].tolist()]
+    return out
+
+
+def batches_of(sizes: np.ndarray, most: int) -> list[slice]:
+    """Cuts the windows of ascending sizes into batches of at most `most`. One is closed as soon as the padding of its windows to
+    the longest costs more than a further batch would."""
+    out, stop = [], len(sizes)
+    while stop:
+        start = max(0, stop - most)
+        padding = np.cumsum(sizes[stop - 1] - sizes[start:stop][::-1])
+        n = max(1, int(np.searchsorted(padding, BATCH_COST * sizes[stop - 1], "right")))
+        out.append(slice(stop - n, stop))
+        stop -= n
+    return out
 
 
 def one_thread() -> None:
@@ -294,9 +325,12 @@ class Tagger:
         trans, s = self.p["T"].astype(float), self.p["s"].astype(float)
         most = trans[1:, 1:].max() - trans[0, 0]
         enter, leave = trans[0, 1:].max() - trans[0, 0], trans[1:, 0].max() - trans[0, 0]
-        inner = e[:, 1].copy()
-        for k in range(2, e.shape[1]):
-            np.maximum(inner, e[:, k], out=inner)
+        inner = np.empty(len(e), e.dtype)
+        for lo in range(0, len(e), 8192):  # parts that fit the cache
+            part, top = e[lo : lo + 8192], inner[lo : lo + 8192]
+            np.copyto(top, part[:, 1])
+            for k in range(2, e.shape[1]):
+                np.maximum(top, part[:, k], out=top)
         gain = (inner - e[:, 0]).astype(float) + most
         gain[first] += max(0.0, (s[1:] - s[0]).max() - enter)
         gain[last] += max(0.0, -leave)
@@ -317,8 +351,8 @@ class Tagger:
         at_first, at_last = np.isin(starts, first), np.isin(stops - 1, last)
         order = np.argsort(stops - starts, kind="stable")
         while len(order):
-            # The longest stretch of a part sets its padded length: at most GROUP_CHARS / 8 places, or one stretch.
-            n = min(512, max(1, GROUP_CHARS // 8 // int(stops[order[-1]] - starts[order[-1]])))
+            # The longest stretch of a part sets its padded length: at most DECODE_PLACES, or one stretch.
+            n = min(512, max(1, DECODE_PLACES // int(stops[order[-1]] - starts[order[-1]])))
             part, order = order[-n:], order[:-n]
             lengths, rows = stops[part] - starts[part], np.arange(len(part))
             steps = np.arange(lengths.max())[:, None]
@@ -333,52 +367,55 @@ class Tagger:
 
     def tag(self, texts: list[str], window: int = 256, overlap: int = 32, batch: int = 384) -> list[np.ndarray]:
         """Tags of whole texts: overlapping windows are scored, the scores of the overlaps are blended by distance to
-        the window's edge, and one best path is decoded over each whole text. Texts go in groups of GROUP_CHARS characters or
-        of one text, and only texts of like length are padded to one another."""
-        out: list[np.ndarray] = []
+        the window's edge, and one best path is decoded over each whole text."""
+        return [t[a:b] for starts, ends, t in self.groups(texts, window, overlap, batch) for a, b in zip(starts.tolist(), ends.tolist())]
+
+    def groups(self, texts: list[str], window: int = 256, overlap: int = 32, batch: int = 384):
+        """Yields the tags of the texts, in order, as joined lays them out (starts, ends, tags; a gap is outside). Texts go in
+        groups of GROUP_CHARS characters or of one text, and only windows of like length are padded to one another."""
         group, chars = [], 0
         for t in texts:
             if group and chars + len(t) > GROUP_CHARS:
-                out += self._tag(group, window, overlap, batch)
+                yield self._tag(group, window, overlap, batch)
                 group, chars = [], 0
             group.append(t)
             chars += len(t)
-        return out + self._tag(group, window, overlap, batch)
-
-    def _tag(self, texts: list[str], window: int, overlap: int, batch: int) -> list[np.ndarray]:
-        cuts = [(i, at) for i, t in enumerate(texts) for at in range(0, max(len(t) - overlap, 1), window - overlap)]
-        coded = [ids(t) for t in texts]
-        # All texts in one array, each followed by a gap.
-        sizes = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        merged = np.zeros((int(ends[-1]) + 1 if len(texts) else 0, len(TAGS)), np.float32)
-        weight = np.ones((len(merged), 1), np.float32)
-        cuts.sort(key=lambda c: min(window, len(texts[c[0]]) - c[1]))
+        yield self._tag(group, window, overlap, batch)
+
+    def _tag(self, texts: list[str], window: int, overlap: int, batch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, starts, ends = joined(texts)
+        coded, sizes = ids_of(codes), ends - starts
+        merged = np.zeros((len(coded), len(TAGS)), np.float32)
+        weight = np.ones((len(coded), 1), np.float32)
+        # Windows: their first places, and the ends of their texts.
+        many = np.maximum(-(-(sizes - overlap) // (window - overlap)), 1)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        first, stop = np.repeat(starts, many) + nth * (window - overlap), np.repeat(ends, many)
+        size, whole = np.minimum(stop - first, window), np.repeat(many == 1, many) & (np.repeat(sizes, many) <= window)
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] > 0]
+        first, size, whole = first[order], size[order], whole[order]
         ramps: dict[int, np.ndarray] = {}
-        for k in range(0, len(cuts), batch):
-            part = cuts[k : k + batch]
-            size = np.array([min(window, len(texts[i]) - at) for i, at in part])
-            x = np.zeros((size.max(), len(part)), np.int32)
-            for j, (i, at) in enumerate(part):
-                x[: size[j], j] = coded[i][at : at + size[j]]
-            e = np.ascontiguousarray(self._masked(x, size).transpose(1, 0, 2))
-            for j, (i, at) in enumerate(part):
-                n = int(size[j])
-                to = slice(int(starts[i]) + at, int(starts[i]) + at + n)
-                if n == len(texts[i]):
-                    merged[to] = e[j, :n]
-                    continue
-                w = ramps.get(n)
+        for part in batches_of(size, batch):
+            at, n, alone = first[part], size[part], whole[part]
+            steps = np.arange(n[-1])[:, None]
+            x = np.where(steps < n, coded[np.minimum(at + steps, len(coded) - 1)], np.int32(0))
+            e = np.ascontiguousarray(self._masked(x, n).transpose(1, 0, 2))
+            if alone.any():
+                inside = steps.T < n[alone, None]
+                merged[(at[alone, None] + steps.T)[inside]] = e[alone][inside]
+            for j in np.flatnonzero(~alone).tolist():
+                k = int(n[j])
+                to = slice(int(at[j]), int(at[j]) + k)
+                w = ramps.get(k)
                 if w is None:
-                    w = ramps[n] = np.minimum(np.arange(n) + 1, np.arange(n, 0, -1)).clip(max=overlap).astype(np.float32)[:, None]
-                merged[to] += e[j, :n] * w
+                    w = ramps[k] = np.minimum(np.arange(k) + 1, np.arange(k, 0, -1)).clip(max=overlap).astype(np.float32)[:, None]
+                merged[to] += e[j, :k] * w
                 weight[to] += w
         for i in np.flatnonzero(sizes > window):
             merged[starts[i] : ends[i]] /= weight[starts[i] : ends[i]] - 1
         some = sizes > 0
-        tags = self.decode(merged, starts[some], ends[some] - 1, ends)
-        return [tags[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        return starts, ends, self.decode(merged, starts[some], ends[some] - 1, ends)
 
     def _both(self, x: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What _scores gives, by the inference library where there is one."""

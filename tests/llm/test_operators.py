@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.llm import cooccur, graph, language, mixing, names, neighbours, packing, plainform, privacy, queries, scans, sizes, stuffed
+from casewright.llm import cooccur, graph, language, mixing, names, neighbours, packing, plainform, privacy, queries, scans, sizes, stuffed, tagger
 from casewright.llm.tagger import Tagger
 
 
@@ -368,3 +368,21 @@ def test_table_of_signs_is_the_expression():
     for t in ("Анна", "Аnna", "Anna\u00a0x", "a\u200bb", "", "ab", "αb", "Ａ", "latin кирил", "\U0001f600 Anna", "\U0001f600 Аnna", "Ж\u0301a"):
         assert privacy.unusual(t) is (privacy._UNUSUAL.search(t) is not None)
     assert privacy.digits_of("٣4a\U00010d41") == "34"
+
+
+def test_short_windows_are_not_padded_to_long_ones(monkeypatch):
+    m, rng = Tagger.load(privacy.WEIGHTS), np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("Anna Lee 052-1234567 б"), n)) for n in (*rng.integers(0, 256, 500), 0, 255, 256, 257, 900)]
+    texts[3], texts[4] = "x\U0001f600 Anna Lee", "A\u200bnna Lee, tel 052-0005551"
+    scored, plain, masked = [], [], m._masked
+    monkeypatch.setattr(m, "_masked", lambda x, sizes: scored.append(x.size) or masked(x, sizes))
+    got = m.tag(texts)
+    assert [len(y) for y in got] == [len(t) for t in texts] and sum(scored) < 1.3 * sum(map(len, texts))
+    assert all((m.tag([t])[0] == y).all() for t, y in list(zip(texts, got))[-60:])
+    view = privacy.plain_view
+    monkeypatch.setattr(privacy, "plain_view", lambda t: plain.append(t) or view(t))
+    found = privacy.find(m, texts)
+    assert set(plain) == {t for t in texts if privacy.unusual(t)} | {texts[3]}
+    assert found[5:60] == [privacy.find(m, [t])[0] for t in texts[5:60]] and found[4] == privacy.find(m, [texts[4]])[0]
+    for b in (tagger.batches_of(np.sort(rng.integers(1, 257, n)), 384) for n in (0, 1, 383, 1000)):
+        assert all(x.start < x.stop <= x.start + 384 for x in b) and all(x.start == y.stop for x, y in zip(b, b[1:]))
