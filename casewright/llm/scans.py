@@ -79,19 +79,29 @@ def bare_word(token: Column) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    """Lower-cased words without adjoining punctuation; numbers and codes are 0."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(text), CODE, "0"), EDGES, "")
-    return F.filter(F.split(text, r"[^\p{L}\p{N}]*\s+[^\p{L}\p{N}]*"), lambda x: x != "")
+    """Lower-cased words without adjoining punctuation; numbers and codes are 0. A code keeps its letters and digits without its
+    edges, so CODE is asked of the words, by expressions that most of them leave at once."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), EDGES, ""), r"[^\p{L}\p{N}]*\s+[^\p{L}\p{N}]*"), lambda x: x != "")
+    return F.transform(words, lambda x: F.when(x.rlike("[0-9]") & (x.rlike(r"^\P{L}*\z") | x.rlike("[0-9][^0-9]*[0-9][^0-9]*[0-9]")), "0").otherwise(x))
+
+
+def without_divided(text: Column) -> Column:
+    """The text with a blank for each word divided at a line end; only texts with such a line end are rewritten."""
+    return F.when(text.rlike(r"[-\x{ad}]\r?\n"), F.regexp_replace(text, r"(?<!\S)\S+[-\x{ad}]\r?\n\s*\S+", " ")).otherwise(text)
 
 
 def term_counts(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
     """(term, clean, scanned): words and pairs of neighbouring words (with a blank between) of all texts, by
-    whether the file was scanned. Words divided at a line end are left out."""
+    whether the file was scanned. Words divided at a line end are left out.
+
+    A text gives a row for each word: with its neighbour, or alone where it is the last. The words themselves are counted
+    from the distinct pairs that they begin."""
     ocr = evidence.where(F.col("status") == OCR_STATUS).select(F.col("id").alias("evidence_id")).distinct().withColumn("ocr", F.lit(1))
-    text = F.regexp_replace("text", r"\S+[-\x{ad}]\r?\n\s*\S+", " ")
-    w = chunks.where("text is not null").select("evidence_id", "text").join(small_side(ocr), "evidence_id", "left").select("ocr", plain_words(text).alias("w"))
-    terms = w.select("ocr", F.explode(F.expr("concat(w, if(size(w) < 2, array(), transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))")).alias("term"))
-    return terms.groupBy("term").agg((F.count("*") - F.count("ocr")).alias("clean"), F.count("ocr").alias("scanned"))
+    w = chunks.where("text is not null").select("evidence_id", "text").join(small_side(ocr), "evidence_id", "left").select("ocr", plain_words(without_divided(F.col("text"))).alias("w"))
+    rows = w.select("ocr", F.explode(F.expr("if(size(w) = 0, array(), transform(sequence(0, size(w) - 1), i -> if(i < size(w) - 1, concat(w[i], ' ', w[i + 1]), w[i])))")).alias("term"))
+    begun = materialise(rows.groupBy("term").agg((F.count("*") - F.count("ocr")).alias("clean"), F.count("ocr").alias("scanned")))
+    words = begun.groupBy(F.substring_index("term", " ", 1).alias("term")).agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"))
+    return begun.where("term like '% %'").unionByName(materialise(words))
 
 
 def furniture(lines: DataFrame, counts: DataFrame, min_count: int = 3, locked: float = 0.7) -> DataFrame:
@@ -183,7 +193,7 @@ def misread(tokens: DataFrame, counts: DataFrame) -> DataFrame:
 def analyse(chunks: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(parts, whole, tokens, wrong): the lines with their part, the divided words, the running tokens and
     the misread ones."""
-    counts = materialise(term_counts(chunks, evidence))
+    counts = term_counts(chunks, evidence)
     parts = materialise(furniture(ocr_lines(chunks, evidence), counts))
     body = divided(parts)
     whole = materialise(whole_words(body, counts))

@@ -1,5 +1,6 @@
 """Small fixtures with nulls, ties, repeated rows, empty tables and clashing columns for each operator, against brute force."""
 
+import time
 from itertools import combinations
 
 import numpy as np
@@ -386,3 +387,18 @@ def test_short_windows_are_not_padded_to_long_ones(monkeypatch):
     assert found[5:60] == [privacy.find(m, [t])[0] for t in texts[5:60]] and found[4] == privacy.find(m, [texts[4]])[0]
     for b in (tagger.batches_of(np.sort(rng.integers(1, 257, n)), 384) for n in (0, 1, 383, 1000)):
         assert all(x.start < x.stop <= x.start + 384 for x in b) and all(x.start == y.stop for x, y in zip(b, b[1:]))
+
+
+def test_terms_of_codes_divided_words_and_one_long_token(spark):
+    texts = ["(12) x1y2z3 a-1 ...7! +++ B2B №5\tÉcole, 1²", "no num-\nber here -\nnor there", "one", " ;- ", "", "a\u00a0b c\u20281d2e3", "x" * 300_000 + " ho-\nuse x1y22", None]
+    c = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, evidence_id long, text string")
+    ev = spark.createDataFrame([(1, "ocr_indexed"), (1, "ocr_indexed"), (2, "indexed")], "id long, status string")
+    old = F.regexp_replace(F.regexp_replace(F.lower("text"), scans.CODE, "0"), scans.EDGES, "")
+    old = F.filter(F.split(old, r"[^\p{L}\p{N}]*\s+[^\p{L}\p{N}]*"), lambda x: x != "")
+    for r in c.where("id <> 6").select("text", old.alias("old"), scans.plain_words(F.col("text")).alias("new")).collect():
+        assert r.old == r.new, r.text
+    began = time.monotonic()
+    got = {r.term: (r.clean, r.scanned) for r in scans.term_counts(c, ev).collect()}
+    assert time.monotonic() - began < 25  # a minute and more where every place of the token is tried as the first of a divided word
+    assert got["no here"] == got["nor there"] == (0, 1) and got["there"] == (0, 1) and "number" not in got and got["one"] == (1, 0)
+    assert got["0"] == (7, 0) and got["0 0"] == (1, 0) and got["x" * 300_000 + " 0"] == (1, 0) and not any(t.endswith(" ") for t in got)
